@@ -133,4 +133,5 @@ def mixture(blocks: DataFrame, plan: dict[str, tuple[int, int]], slots_per_shard
                 yield x[["shard", "slot", "source", "epoch", "index"]]
 
     placed = slots.mapInPandas(place, "shard long, slot long, source string, epoch long, index long")
-    return placed.join(blocks, ["source", "index"]).select("shard", "slot", "source", "epoch", "index", "doc", "token_start", "token_end")
+    # The planner takes the few plan rows for the size of what they explode into; never broadcast the slots.
+    return placed.join(blocks.hint("merge"), ["source", "index"]).select("shard", "slot", "source", "epoch", "index", "doc", "token_start", "token_end")
