@@ -36,11 +36,13 @@ _MORE_WORDS = {
 }
 # Words that do not end a sentence.
 _UNFINISHED = set(
-    "the a an and or of to because than that which who whose whom if when while where as from into such namely including via per between during since until unless although its their his her my our your and/or is are was were be been has have had will would can could should must "
+    "the a an and or of to as because than that which who whose whom if when while where as from into such namely including via per between during since until unless although its their his her my our your and/or is are was were be been has have had will would can could should must "
     "und oder der die das den dem des ein eine einen einem einer eines zu zum zur von vom mit für bei nämlich sowie wie weil dass als im am ist war sind "
     "et ou le la les l un une de du des d à au aux par pour avec que qui notamment comme dont dans sur sous chez est sont "
     "y o el los las una del en con por para que como entre sobre sin desde hasta su sus al es son".split()
 )
+# Pairs of words that do not end a sentence.
+_UNFINISHED_PAIRS = {"together with", "in turn", "because of", "such as", "as well", "zusammen mit", "en raison", "debido a", "junto con", "avec la", "grâce à"}
 # Words with which a response declines, in the languages of the pairs.
 DECLINING = re.compile(
     r"""\b(?:i|we)(?:\s+am|['’]m|\s+are|['’]re)?\s+(?:\w+\s+)?(?:cannot|can['’]?t|can\s+not|unable\s+to|not\s+(?:able|allowed|permitted|in\s+a\s+position)\b|must\s+decline|decline\s+to|have\s+to\s+decline|refuse\s+to|won['’]?t|will\s+not)
@@ -63,12 +65,14 @@ DECLINING = re.compile(
 _QUOTED = re.compile(r"[\"“„«][^\"”“»]*[\"”“»]?")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _PLAIN = re.compile(r"[^\W_]+")
-_INVISIBLE = re.compile(r"[​-‏  ⁠-⁤﻿­]")
+_INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _MARKUP = re.compile(r"<[^<>]*>|&nbsp;|&#\d+;")
 #: Words of an opening; words of a shingle; similarity of openings in one cluster.
 OPENING, SHINGLE, SIMILAR = 16, 5, 0.8
 #: Context words an ending is judged by, at most.
-CONTEXT = 4
+CONTEXT = 6
+#: Responses of fewer words are not judged by their context: short answers need no full stop.
+SHORT = 6
 
 
 def _tell_apart(words: dict[str, str]) -> dict[str, str]:
@@ -128,6 +132,8 @@ def masked(text: str) -> list[str]:
 def ending(answer: str) -> str:
     """'whole' (closed by a mark), 'broken' (by what only a break leaves), or 'open' (neither)."""
     t = _INVISIBLE.sub("", answer).rstrip()
+    if not t:
+        return "whole"
     if t.endswith(("…", "...", ",", ";", "(", "[", "“", "„", "«", "/", "&", " -", "–", "—")):
         return "broken"
     last = _PLAIN.findall(t)
@@ -135,15 +141,11 @@ def ending(answer: str) -> str:
         return "whole"
     if len(last) > 1 and last[-1].lower() in _UNFINISHED and not last[-1].isupper():
         return "broken"
+    if len(last) > 2 and " ".join(last[-2:]).lower() in _UNFINISHED_PAIRS:
+        return "broken"
     return "open"
 
 
-def contexts(words: list[str]) -> list[str]:
-    """The contexts an ending is judged by, longest first; '^' stands before the first word."""
-    padded = ["^", *words]
-    return [" ".join(padded[-n:]) for n in range(min(CONTEXT, len(padded)), 0, -1)]
-
-
 _FACTS = "pair_table string, pair_id string, answerable boolean, prompt string, empty boolean, copy boolean, foreign boolean, declines boolean, ending string, last string, words array<string>, opening array<string>"
 
 
@@ -157,7 +159,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if is_empty(a):
                 rows.append((prompt, True, False, False, False, "whole", None, [], []))
                 continue
-            words = masked(a)
+            # After a restated question only what follows it is judged.
+            words = masked(re.split(r"\?\W*", a)[-1] or a)
             (lq, _), (la, by) = language(q), language(a)
             first = re.split(r"(?<=[.!?])\s", a.strip(), maxsplit=1)[0]
             opening = ["^", *masked(first)[:OPENING]]
@@ -215,20 +218,33 @@ def defective_pairs(pairs: DataFrame, prompts: int = 3, often: int = 5) -> DataF
     return judged.select("pair_table", "pair_id", defect.alias("defect")).where("defect IS NOT NULL")
 
 
-def broken_endings(full: DataFrame, support: int = 8, ends: float = 0.1) -> DataFrame:
+def broken_endings(full: DataFrame, support: int = 8, ends: float = 0.1, closes: float = 0.2) -> DataFrame:
     """(pair_table, pair_id, stops): pairs whose open ending breaks off.
 
-    An open ending stops short if its longest context seen ``support`` times or more anywhere ends responses
-    less than ``ends`` of those times, or if its last word (in lower case) stands nowhere but at open ends.
+    An open ending stops short if its longest context seen ``support`` times or more ends responses less than
+    ``ends`` of those times, unless one of three words or more is closed by a mark in ``closes`` of its other
+    places; and if its last word (in lower case) stands nowhere but at ends without a mark.
     """
-    keys = F.transform(F.sequence(F.lit(1), F.lit(CONTEXT)), lambda n: F.array_join(F.slice(F.concat(F.array(F.lit("^")), "words"), -F.least(n, F.size("words") + 1), F.least(n, F.size("words") + 1)), " "))
-    opened = full.where(F.col("ending") == "open").select("pair_table", "pair_id", "last", keys.alias("keys"))
-    wanted = stage(opened.select("pair_table", "pair_id", "last", F.posexplode(F.array_distinct("keys")).alias("n", "key")), "open_endings")
-    padded = full.select("ending", F.concat(F.array(F.lit("^")), "words").alias("w"))
-    everywhere = padded.select("ending", F.size("w").alias("size"), F.posexplode("w").alias("i", "word"), "w").where("i > 0")
-    grams = everywhere.select("word", ((F.col("i") + 1 == F.col("size"))).alias("at_end"), "ending", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(CONTEXT), F.col("i") + 1)), lambda n: F.array_join(F.slice("w", F.col("i") + 2 - n, n), " "))).alias("key"))
-    counts = grams.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("seen"), F.count_if(F.col("at_end") & (F.col("ending") != "broken")).alias("ended"), F.count_if(~F.col("at_end") | (F.col("ending") != "open")).alias("elsewhere"))
-    judged = wanted.join(counts, "key").groupBy("pair_table", "pair_id", "last").agg(F.max_by("ended", F.when(F.col("seen") >= support, F.col("n"))).alias("ended"), F.max_by("seen", F.when(F.col("seen") >= support, F.col("n"))).alias("seen"), F.max(F.when(F.col("n") == 0, F.col("elsewhere"))).alias("elsewhere"))
-    short = F.coalesce(F.col("ended") < ends * F.col("seen"), F.lit(False))
+    padded = F.concat(F.array(F.lit("^")), "words")
+    tail = F.transform(F.sequence(F.lit(1), F.least(F.lit(CONTEXT), F.size("words") + 1)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(padded, -n, n), " ").alias("key")))
+    opened = full.where(F.col("ending") == "open").select("pair_table", "pair_id", "last", F.size("words").alias("size"), F.explode(tail).alias("x"))
+    wanted = stage(opened.select("pair_table", "pair_id", "last", "size", "x.n", "x.key"), "open_endings")
+    everywhere = full.select("ending", padded.alias("w")).select("ending", F.size("w").alias("size"), "w", F.posexplode("w").alias("i", "word")).where("i > 0")
+    keys = F.transform(F.sequence(F.lit(1), F.least(F.lit(CONTEXT), F.col("i") + 1)), lambda n: F.array_join(F.slice("w", F.col("i") + 2 - n, n), " "))
+    grams = everywhere.select((F.col("i") + 1 == F.col("size")).alias("at_end"), "ending", F.explode(keys).alias("key"))
+    counts = grams.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
+        F.count("*").alias("seen"),
+        F.count_if(F.col("at_end") & (F.col("ending") != "broken")).alias("ended"),
+        F.count_if(F.col("at_end") & (F.col("ending") == "whole")).alias("closed"),
+        F.count_if(~F.col("at_end") | (F.col("ending") == "whole")).alias("elsewhere"),
+    )
+    enough = F.when(F.col("seen") >= support, F.col("n"))
+    judged = wanted.join(counts, "key").groupBy("pair_table", "pair_id", "last", "size").agg(
+        F.max_by("ended", enough).alias("ended"),
+        F.max_by("seen", enough).alias("seen"),
+        F.max((F.col("n") >= 3) & (F.col("closed") > 0) & (F.col("closed") >= closes * (F.col("seen") - 1))).alias("closes"),
+        F.max(F.when(F.col("n") == 1, F.col("elsewhere"))).alias("elsewhere"),
+    )
+    short = (F.col("size") >= SHORT) & ~F.col("closes") & F.coalesce(F.col("ended") < ends * F.col("seen"), F.lit(False))
     partial = F.col("last").rlike(r"^\p{Ll}") & (F.coalesce("elsewhere", F.lit(0)) == 0)
     return judged.select("pair_table", "pair_id", (short | partial).alias("stops"))

@@ -24,8 +24,8 @@ PARAGRAPH, LINE, SENTENCE, CLAUSE, SPACE, NONE = 5, 4, 3, 2, 1, 0
 
 # A boundary stands after the matched run.
 _BOUNDARY = re.compile(
-    r"(?P<paragraph>(?:\r\n|[\n\r  \x85])[^\S\n\r]*(?:\r\n|[\n\r  \x85])\s*)"
-    r"|(?P<line>(?:\r\n|[\n\r  \x85\x0b\x0c])[^\S\n\r]*)"
+    r"(?P<paragraph>(?:\r\n|[\n\r\u2028\u2029\x85])[^\S\n\r]*(?:\r\n|[\n\r\u2028\u2029\x85])\s*)"
+    r"|(?P<line>(?:\r\n|[\n\r\u2028\u2029\x85\x0b\x0c])[^\S\n\r]*)"
     r"|(?P<sentence>(?:[.!?…]+[\"'”’»)\]]*\s+)|(?:[。！？｡]+[」』）”]*\s*))"
     r"|(?P<clause>(?:[;:,]\s+)|(?:[、，；：]\s*))"
     r"|(?P<space>\s+)"
@@ -38,7 +38,7 @@ def _joined(text: str, at: int) -> bool:
     import unicodedata
 
     c = text[at]
-    return bool(unicodedata.combining(c)) or c in "‍️" or text[at - 1] == "‍"
+    return bool(unicodedata.combining(c)) or c in "\u200d\ufe0f" or text[at - 1] == "\u200d"
 
 
 def atoms(text: str, room: int) -> tuple[list[int], list[int]]:
