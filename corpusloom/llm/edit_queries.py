@@ -14,9 +14,7 @@ THRESHOLD = 0.7
 def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     facts, fact_members = word_classes(table(spark, d, "resume_facts"), "resume_facts", "id", "fact", "loaded_at")
     asked, asked_members = word_classes(table(spark, d, "resume_qa_pairs"), "resume_qa_pairs", "id", "question", "ingested_at")
-    # A class name is the hash of its words; the table keeps equal texts of both apart.
-    apart = lambda x: x.withColumn("cls", F.concat("kind", F.lit(":"), "cls"))
-    return apart(facts).unionByName(apart(asked)), apart(fact_members).unionByName(apart(asked_members))
+    return facts.unionByName(asked), fact_members.unionByName(asked_members)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

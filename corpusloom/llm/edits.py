@@ -7,9 +7,10 @@ indexed as it is and with each one of its set bits wiped out, so two such segmen
 are, or one as it is and the other with a bit wiped out), and pairs that met are verified on the words.
 
 Segments made of the words of a common template would meet everywhere. Records under such a signature meet
-again, instead, by subsets of their rarest words: of any p = |x| - o + r rarest words of x (o being the
-least overlap that t demands) at least r stand in every partner, so the r-subsets of the p rarest words are
-signatures too. r grows until the signatures are rare. Both ways are complete; none drops a pair.
+again, instead, by their rarest words: of any p = |x| - o + r rarest words of x (o being the least overlap
+that t demands) at least r stand in every partner, so the r-subsets of the p rarest words are signatures
+too. A subset that is still crowded is extended by one more rare word, until none is. Both ways are
+complete; none drops a pair.
 
 Records with equal word sets are one class throughout; they are expanded only at the end, if asked for.
 """
@@ -17,6 +18,7 @@ Records with equal word sets are one class throughout; they are expanded only at
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -28,13 +30,16 @@ from pyspark.sql import functions as F
 from corpusloom.runtime import stage
 
 #: Classes that may share a signature and still be paired at once; beyond it the signature is refined.
-CROWD = 40
+CROWD = 16
 #: A word in at least one of this many classes is frequent; there are at most this many times the mean
 #: number of words of those, whatever the size of the table.
 FREQUENT_ONE_IN = 2000
-#: Largest subsets tried before a crowd is paired however large it is.
-MOST_RARE = 4
+#: Smallest and largest subsets of rare words; a crowd under the largest is paired however large it is.
+FEWEST_RARE, MOST_RARE = 2, 9
+#: Records whose signatures leave Python in one batch.
+_BATCH = 256
 _MASK = (1 << 64) - 1
+_PLACE, _PLACES = struct.Struct("<I"), struct.Struct(f"<{FEWEST_RARE}I")
 
 
 def words_of(text: Column) -> Column:
@@ -52,7 +57,7 @@ def word_classes(records: DataFrame, kind: str, key: str, text: str, newest: str
     rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("t"), order.alias("at"))
     rows = rows.groupBy("id").agg(F.max_by("t", F.struct("at", "t")).alias("t"))
     sets = rows.select("id", words_of(F.col("t")).alias("words")).where(F.size("words") > 0)
-    members = sets.select(F.lit(kind).alias("kind"), F.sha2(F.array_join("words", " "), 256).alias("cls"), "id", "words")
+    members = sets.select(F.lit(kind).alias("kind"), F.xxhash64(F.lit(kind), F.array_join("words", " ")).alias("cls"), "id", "words")
     return members.groupBy("kind", "cls").agg(F.first("words").alias("words")), members.drop("words")
 
 
@@ -116,55 +121,82 @@ def deletion_variants(words: list[str], kind: str, t: float) -> list[tuple[int,
     return out
 
 
-def rare_subsets(words: list[str], rank: dict[str, int], kind: str, t: float, r: int) -> list[int]:
-    """Signatures of the r-subsets of the rarest words, for each pair of size classes.
+def _rarest_first(words: list[str], rank: dict[str, int]) -> list[int]:
+    """Hashes of the words; frequent ones last, by falling rarity, the others in the order of their hashes."""
+    return [h for _, h in sorted((rank.get(w, -1), _hash(w)) for w in words)]
 
-    Frequent words come last, by falling rarity; the order of the others is that of their hashes.
+
+def _least_overlap(n: int, t: float) -> int:
+    """Words that a set of n words shares at least with any partner."""
+    return int(math.ceil((n + math.ceil(t * n - 1e-9)) * t / (1 + t) - 1e-9))
+
+
+def rare_subsets(words: list[str], rank: dict[str, int], kind: str, t: float) -> list[tuple[int, bytes]]:
+    """(signature, places) of the smallest subsets of the rarest words; none for sets without any partner."""
+    n = len(words)
+    least = _least_overlap(n, t)
+    if least < FEWEST_RARE:  # a single word has no partner but itself
+        return []
+    ordered, salt = _rarest_first(words, rank), _hash(kind)
+    return [(_signed((salt + sum(ordered[i] for i in at)) & _MASK), _PLACES.pack(*at)) for at in combinations(range(min(n, n - least + FEWEST_RARE)), FEWEST_RARE)]
+
+
+def extended_subsets(words: list[str], rank: dict[str, int], t: float, r: int, crowded: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """The r-subsets that extend a crowded (r - 1)-subset by a less rare word.
+
+    Two partners' r rarest common words extend their r - 1 rarest ones, so no other extension is needed. A
+    set that may share only r - 1 words with a partner keeps its crowded subset besides.
     """
     n = len(words)
-    ordered = sorted(words, key=lambda w: (rank.get(w, -1), _hash(w), w))
-    out = set()
-    for low, high in _groups(n, t):
-        c = size_class(n, t)
-        partner = max(_smallest(low if c == high and low != high else high, t), int(math.ceil(t * n - 1e-9)))
-        least = int(math.ceil((n + partner) * t / (1 + t) - 1e-9))
-        # Small sets may share fewer than r words: their pair of classes uses what any partners must share.
-        take = min(r, int(math.ceil((_smallest(low, t) + _smallest(high, t)) * t / (1 + t) - 1e-9)))
-        salt = _hash(f"{kind}/{low}/{high}/{take}")
-        for some in combinations([_hash(w) for w in ordered[: n - least + take]], take):
-            out.add(_signed((salt + sum(some)) & _MASK))
-    return list(out)
-
-
-def _map(df: DataFrame, schema: str, types: list, make) -> DataFrame:
+    least = _least_overlap(n, t)
+    ordered = _rarest_first(words, rank)
+    out = []
+    for sig, places in crowded:
+        if least < r:
+            out.append((sig, places))
+        if len(places) == (r - 1) * _PLACE.size:
+            last = _PLACE.unpack(places[-_PLACE.size :])[0]
+            out += [(_signed((sig + ordered[j]) & _MASK), places + _PLACE.pack(j)) for j in range(last + 1, min(n, n - least + r))]
+    return out
+
+
+def _map(df: DataFrame, inputs: list[str], schema: str, types: list, make) -> DataFrame:
+    """Rows made by ``make(*values)`` of each row, leaving Python in batches of bounded size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [n for n, _ in types]
         for batch in batches:
-            columns: list[list] = [[] for _ in types]
-            for kind, cls, words in zip(*(batch.column(c).to_pylist() for c in ("kind", "cls", "words"))):
-                make(columns, kind, cls, words)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types)], names=names)
+            for at in range(0, batch.num_rows, _BATCH):
+                part = batch.slice(at, _BATCH)
+                rows = [row for values in zip(*(part.column(c).to_pylist() for c in inputs)) for row in make(*values)]
+                columns = list(zip(*rows)) if rows else [[] for _ in types]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types)], names=names)
 
     return df.mapInArrow(run, schema)
 
 
+_SIG_ROW = [("sig", pa.int64()), ("places", pa.binary()), ("cls", pa.int64())]
+
+
 def _variant_rows(classes: DataFrame, t: float) -> DataFrame:
-    def make(columns, kind, cls, words):
-        rows = deletion_variants(words, kind, t)
-        columns[0] += [s for s, _ in rows]
-        columns[1] += [w for _, w in rows]
-        columns[2] += [cls] * len(rows)
+    def make(kind, cls, words):
+        return [(sig, whole, cls) for sig, whole in deletion_variants(words, kind, t)]
+
+    return _map(classes, ["kind", "cls", "words"], "sig long, whole boolean, cls long", [("sig", pa.int64()), ("whole", pa.bool_()), ("cls", pa.int64())], make)
+
+
+def _subset_rows(classes: DataFrame, rank: dict[str, int], t: float) -> DataFrame:
+    def make(kind, cls, words):
+        return [(sig, places, cls) for sig, places in rare_subsets(words, rank, kind, t)]
 
-    return _map(classes, "sig long, whole boolean, cls string", [("sig", pa.int64()), ("whole", pa.bool_()), ("cls", pa.string())], make)
+    return _map(classes, ["kind", "cls", "words"], "sig long, places binary, cls long", _SIG_ROW, make)
 
 
-def _subset_rows(classes: DataFrame, rank: dict[str, int], t: float, r: int) -> DataFrame:
-    def make(columns, kind, cls, words):
-        rows = rare_subsets(words, rank, kind, t, r)
-        columns[0] += rows
-        columns[1] += [cls] * len(rows)
+def _extended_rows(classes: DataFrame, rank: dict[str, int], t: float, r: int) -> DataFrame:
+    def make(cls, words, crowded):
+        return [(sig, places, cls) for sig, places in extended_subsets(words, rank, t, r, [(x["sig"], x["places"]) for x in crowded])]
 
-    return _map(classes, "sig long, cls string", [("sig", pa.int64()), ("cls", pa.string())], make)
+    return _map(classes, ["cls", "words", "crowded"], "sig long, places binary, cls long", _SIG_ROW, make)
 
 
 def frequent_words(classes: DataFrame) -> dict[str, int]:
@@ -186,22 +218,22 @@ def near_duplicate_classes(classes: DataFrame, t: float = 0.7) -> DataFrame:
     pairs = [left.join(right, "sig").where(F.col("a") != F.col("b"))]
     crowd = stage(met.where(crowded).select("cls").distinct(), "crowd")
     rank = frequent_words(classes)
-    r = 2
+    subsets, r = _subset_rows(classes.join(crowd, "cls", "left_semi"), rank, t), FEWEST_RARE
     while True:
-        there = classes.join(crowd, "cls", "left_semi")
-        subsets = stage(_subset_rows(there, rank, t, r), "rare_subsets")
+        subsets = stage(subsets, "rare_subsets")
         load = subsets.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
         met = subsets.join(load, "sig")
-        small = F.col("n") <= CROWD if r < MOST_RARE else F.lit(True)
-        quiet = met.where(small)
+        quiet = met.where(F.col("n") <= CROWD) if r < MOST_RARE else met
         x, y = quiet.select("sig", F.col("cls").alias("a")), quiet.select("sig", F.col("cls").alias("b"))
         pairs.append(x.join(y, "sig").where("a < b"))
         if r == MOST_RARE:
             break
-        crowd = stage(met.where(~small).select("cls").distinct(), "crowd")
-        if not crowd.take(1):
+        # A class has few crowded subsets: no more than its rarest words give.
+        still = stage(met.where(F.col("n") > CROWD).groupBy("cls").agg(F.collect_set(F.struct("sig", "places")).alias("crowded")), "crowded_subsets")
+        if not still.take(1):
             break
         r += 1
+        subsets = _extended_rows(classes.join(still, "cls"), rank, t, r)
     both = [p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for p in pairs]
     candidates = reduce(DataFrame.unionByName, both).distinct()
     w = classes.select("kind", "cls", "words")
