@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import integrity
+from corpusloom.plans import integrity, retrieval
 
-QUERIES = {**integrity.QUERIES}
-ORACLE = {**integrity.ORACLE}
+_MODULES = (integrity, retrieval)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query the driver smoke-tests."""
-    return QUERIES["p6_found"](spark, sf_dir)
+    """The query the driver smoke-tests: the five best chunks of every twentieth question."""
+    return QUERIES["q_bm25_top5"](spark, sf_dir)
