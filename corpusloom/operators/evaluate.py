@@ -119,7 +119,7 @@ def independent_check(records: DataFrame) -> DataFrame:
         (sum((F.count_if(F.col("classification") == v) for v in LABELS[1:]), F.count_if(F.col("classification") == LABELS[0])) == n).alias("labels cover all"), (hit + F.count_if(F.col("classification") == NONE) == n).alias("hit is not none"),
         (F.count_if(classify(e, o) != F.col("classification")) == 0).alias("labels"), (F.count_distinct("id") == n).alias("unique ids"),
     )
-    return totals.unpivot([], totals.columns, "check", "passed").select("check", F.when("passed", "PASS").otherwise("FAIL").alias("status"))
+    return totals.unpivot([], totals.columns, "check", "passed").select("check", F.when(F.col("passed"), "PASS").otherwise("FAIL").alias("status"))
 
 
 def metric_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
