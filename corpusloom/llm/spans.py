@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Code points hashed at once, and stretches compared at once.
-_SLICE, _CHUNK = 1 << 18, 40_000
+_SLICE, _CHUNK = 1 << 18, 8_000
 #: Stretches under one minimizer that are compared within a task; more are compared by a shuffle of spans.
 CROWD = 20_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -130,33 +130,20 @@ def _router(span: int, gram: int):
 def _cutter(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for txt, text, met in zip(*(b.column(c).to_pylist() for c in ("txt", "text", "met"))):
-                place = [m["place"] for m in met]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([m["sig"] for m in met], pa.int64()), pa.array([txt] * len(met), pa.int64()), pa.array([p >> 10 for p in place], pa.int32()),
-                        pa.array([text[p >> 10 : (p >> 10) + (p & 1023) + span - 1] for p in place], pa.string()), pa.array([m["crowded"] for m in met], pa.bool_()),
-                    ],
-                    names=["sig", "txt", "first", "piece", "crowded"],
-                )
+            texts, txt = b.column("text").to_pylist(), b.column("txt").to_numpy()
+            sigs, places = b.column("sigs"), b.column("places")
+            edges = sigs.offsets.to_numpy() - sigs.offsets[0].as_py()
+            sig, place = sigs.flatten().to_numpy(), places.flatten().to_numpy()
+            first, count = place >> 10, place & 1023
+            owner = np.repeat(np.arange(len(texts)), np.diff(edges))
+            for at in range(0, len(sig), 4 * _CHUNK):
+                s = slice(at, at + 4 * _CHUNK)
+                pieces = [texts[i][f : f + n + span - 1] for i, f, n in zip(owner[s].tolist(), first[s].tolist(), count[s].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[s]), pa.array(txt[owner[s]]), pa.array(first[s].astype(np.int32)), pa.array(pieces, pa.string())], names=["sig", "txt", "first", "piece"])
 
     return run
 
 
-def _batched(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in fewer batches."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _reaches(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each element, whether its hash stands under another owner too."""
     order = np.argsort(hashes, kind="stable")
@@ -179,13 +166,12 @@ def shared_in(pieces: list[str], owner: np.ndarray, first: np.ndarray, span: int
     inside = at + block <= starts[piece[at] + 1]
     # Reference blocks: those at multiples of the block length in their record.
     reference = np.flatnonzero(inside & (offset % block == 0))
-    index, where = np.unique(anchors[reference], return_inverse=True)
-    if not len(index):
+    if not len(reference):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-    holder = owner[piece[reference]]
-    low, high = np.full(len(index), np.iinfo(np.int64).max), np.full(len(index), np.iinfo(np.int64).min)
-    np.minimum.at(low, where, holder)
-    np.maximum.at(high, where, holder)
+    order = np.argsort(anchors[reference], kind="stable")
+    keys, holder = anchors[reference][order], owner[piece[reference]][order]
+    begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    index, low, high = keys[begins], np.minimum.reduceat(holder, begins), np.maximum.reduceat(holder, begins)
     # Every rolling window probes the index; a hit is a block of another record.
     slot = np.minimum(np.searchsorted(index, anchors), len(index) - 1)
     mine = owner[piece[at]]
@@ -268,10 +254,12 @@ def shared_spans(texts: DataFrame, span: int = 120, gram: int = 40) -> DataFrame
     sigs = sigs.repartition("sig")
     met = sigs.groupBy("sig").agg(F.min("txt").alias("low"), F.max("txt").alias("high"), F.count("*").alias("n")).where("low <> high").select("sig", (F.col("n") > CROWD).alias("crowded"))
     places = sigs.join(met.hint("merge"), "sig").groupBy("txt").agg(F.collect_set(F.struct("sig", "place", "crowded")).alias("met"))  # of one text: bounded by its length
-    stretches_ = texts.select("txt", "text").join(places.hint("merge"), "txt").mapInArrow(_cutter(span), "sig long, txt long, first int, piece string, crowded boolean")
-    near = stretches_.where("NOT crowded").select("sig", "txt", "first", "piece").repartition("sig").sortWithinPartitions("sig").mapInArrow(_comparer(span), "txt long, a int, b int")
-    # Minimizers of very many texts (boilerplate): their spans are compared one by one, across tasks.
-    spelled = stretches_.where("crowded").select("txt", "first", "piece").mapInArrow(_speller(span), "span long, txt long, a int")
+    some = lambda crowded: places.select("txt", F.filter("met", lambda m: m["crowded"] == crowded).alias("met")).where(F.size("met") > 0).select("txt", F.col("met.sig").alias("sigs"), F.col("met.place").alias("places"))
+    stretch = lambda of: texts.select("txt", "text").join(of.hint("merge"), "txt").mapInArrow(_cutter(span), "sig long, txt long, first int, piece string")
+    near = stretch(some(False)).repartition("sig").sortWithinPartitions("sig").mapInArrow(_comparer(span), "txt long, a int, b int")
+    # Minimizers of very many texts (boilerplate): their spans are compared one by one, across tasks. Being
+    # shuffled by itself, an empty crowd lets the adaptive planner drop the whole branch.
+    spelled = stretch(some(True).repartition("txt")).mapInArrow(_speller(span), "span long, txt long, a int")
     common = spelled.groupBy("span").agg(F.min("txt").alias("low"), F.max("txt").alias("high")).where("low <> high").select("span")
     far = spelled.join(common, "span", "left_semi").select("txt", "a", (F.col("a") + span).alias("b")).distinct()
     return near.unionByName(far)
