@@ -21,7 +21,9 @@ def duplicates(rows: DataFrame, key: str, check: str) -> DataFrame:
 
 
 def missing_fields(rows: DataFrame, key: str, fields: dict[str, str], check: str) -> DataFrame:
-    """Rows in which a field is null, blank, or does not match its pattern ('' for any)."""
+    """Rows in which a field is null, blank, or does not match its pattern ('' for any; a '$' at its end is the
+    end of the value, not that of its last line)."""
+    fields = {c: p[:-1] + r"\z" if p.endswith("$") else p for c, p in fields.items()}
     bad = F.array_compact(F.array(*(F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "") | (~F.col(c).cast("string").rlike(p) if p else F.lit(False)), F.lit(c)) for c, p in fields.items())))
     return violations(rows.withColumn("bad", bad).where(F.size("bad") > 0), check, key, F.array_join("bad", ","))
 
