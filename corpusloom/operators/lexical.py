@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens
+from corpusloom.runtime import stage
 
 # The scoring parameters and the digits of a score.
 K1, B, DIGITS = 1.2, 0.75, 6
 _UNIT = 1_000_000_000_000
-#: Terms of each question, by falling weight, that set the bar.
-SEEDS = 3
+#: The bar is set by the weightiest terms of a question that together have this many postings per result.
+SEED_POSTINGS = 40
 
 
 def term_frequencies(corpus: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -81,12 +82,13 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     ``corpus`` has id, text, canon (0 canonical, 1 not), source and chunk_index (its place); ``queries`` has
     query_id and question. Texts without a common token are no candidates; k below 1 gives nothing.
     """
-    terms = query_terms(queries)
-    posted = postings(corpus, terms)
-    weighed = terms.join(posted.groupBy("term").agg(F.max("weight").alias("weight")), "term").withColumn("most", F.col("times") * F.col("weight"))
+    # Both are used several times below; postings hold the questions' terms only.
+    terms = stage(query_terms(queries), "query_terms")
+    posted = stage(postings(corpus, terms), "postings")
+    weighed = terms.join(posted.groupBy("term").agg(F.max("weight").alias("weight"), F.count("*").alias("df")), "term").withColumn("most", F.col("times") * F.col("weight"))
     up = Window.partitionBy("query_id").orderBy("most", "term")
-    weighed = weighed.withColumn("reach", F.sum("most").over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "term")))
-    seeds = weighed.where(F.col("place") <= SEEDS).join(posted.drop("weight"), "term")
+    weighed = weighed.withColumn("reach", F.sum("most").over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.sum("df").over(Window.partitionBy("query_id").orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, 0)) - F.col("df"))
+    seeds = weighed.where(F.col("before") < SEED_POSTINGS * max(k, 1)).join(posted.drop("weight"), "term")
     partial = seeds.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("gain")).alias("s"))
     nth = partial.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))).where(F.col("n") == max(k, 1)).select("query_id", F.col("s").alias("bar"))
     # A text with none of the remaining terms scores less than the bar, whatever else it holds.
