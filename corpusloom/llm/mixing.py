@@ -116,6 +116,7 @@ def mixture(blocks: DataFrame, plan: dict[str, tuple[int, int]], slots_per_shard
     total = sum(n for _, n in plan.values())
     shards = max(1, min(MOST_SHARDS, -(-total // slots_per_shard)))
     counts = shard_counts({s: n for s, (_, n) in plan.items()}, shards, seed) if plan else pd.DataFrame([], columns=["shard", "source", "n", "first"])
+    counts = counts.astype({"n": "int64", "first": "int64", "shard": "int64"})
     counts = counts.merge(pd.DataFrame([(s, b) for s, (b, _) in plan.items()], columns=["source", "blocks"]), on="source", how="inner")
     counts["before"] = counts.groupby("shard")["n"].cumsum() - counts["n"]
     counts["size"] = counts.groupby("shard")["n"].transform("sum")
