@@ -17,6 +17,8 @@ from corpusloom.runtime import stage
 # The scoring parameters and the digits of a score.
 K1, B, DIGITS = 1.2, 0.75, 6
 _UNIT = 1_000_000_000_000
+# Room for the rounding of scores when they are held against a bar.
+_SLACK = 1e-5
 #: The bar is set by the weightiest terms of a question that together have this many postings per result.
 SEED_POSTINGS = 40
 
@@ -90,14 +92,24 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     weighed = weighed.withColumn("reach", F.sum("most").over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.sum("df").over(Window.partitionBy("query_id").orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, 0)) - F.col("df"))
     seeds = weighed.where(F.col("before") < SEED_POSTINGS * max(k, 1)).join(posted.drop("weight"), "term")
     partial = seeds.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("gain")).alias("s"))
-    nth = partial.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))).where(F.col("n") == max(k, 1)).select("query_id", F.col("s").alias("bar"))
-    # A text with none of the remaining terms scores less than the bar, whatever else it holds.
-    needed = weighed.join(nth, "query_id", "left").where(F.col("bar").isNull() | (F.col("reach") >= F.col("bar") - 1e-5))
-    candidates = needed.select("query_id", "term").join(posted.select("term", "id"), "term").select("query_id", "id").distinct()
+    # A text with none of the needed terms scores less than the bar, whatever else it holds.
+    reached = weighed.join(_bars(partial, k), "query_id", "left").withColumn("needed", F.col("bar").isNull() | (F.col("reach") >= F.col("bar") - _SLACK))
+    rest = reached.groupBy("query_id").agg(F.coalesce(F.max(F.when(~F.col("needed"), F.col("reach"))), F.lit(0.0)).alias("rest"))
+    needed = reached.where("needed").select("query_id", "term", "times").join(posted.drop("weight"), "term")
+    partial = stage(needed.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("gain")).alias("s")), "partial_scores")
+    # Nor can one whose needed terms and all others together stay below the k-th best by needed terms.
+    candidates = partial.join(_bars(partial, k), "query_id", "left").join(rest, "query_id").where(F.col("bar").isNull() | (F.col("s") + F.col("rest") >= F.col("bar") - _SLACK)).select("query_id", "id")
     matches = candidates.join(posted.drop("weight"), "id").join(terms, ["query_id", "term"])
     return ranked(scores(matches), corpus, k).select("query_id", "rank", "id", "score", "matched_terms")
 
 
+def _bars(partial: DataFrame, k: int) -> DataFrame:
+    """(query_id, bar): the k-th best of partial scores, for the questions that have so many."""
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))
+    best = partial.withColumn("n", n).where(F.col("n") <= max(k, 1))
+    return best.where(F.col("n") == max(k, 1)).select("query_id", F.col("s").alias("bar"))
+
+
 def matched_counts(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, candidates_matched, best_score): texts that share a term, before any cut, and the best score."""
     terms = query_terms(queries)

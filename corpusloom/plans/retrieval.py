@@ -126,13 +126,16 @@ def _routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     corpus = stage(inputs.corpus(spark, d), "corpus")
     queries = stage(inputs.questions(spark, d), "questions")
     lex = stage(lexical.bm25(corpus, queries, K), "lexical")
+    return corpus, stage(_semantic(queries, corpus), "semantic"), lex
+
+
+def _semantic(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     embed = lambda df, key, text: df.select(F.lit("p").alias("space"), F.col(key).alias("id"), placeholder_embedding(F.col(text)).alias("v"))
-    sem = stage(vectors.nearest_of(embed(queries, "query_id", "question"), embed(corpus, "id", "text"), K), "semantic")
-    return corpus, sem, lex
+    return vectors.nearest_of(embed(queries, "query_id", "question"), embed(corpus, "id", "text"), K)
 
 
 def q_semantic_top5(spark: SparkSession, d: str) -> DataFrame:
-    return _routes(spark, d)[1]
+    return _semantic(inputs.questions(spark, d), inputs.corpus(spark, d))
 
 
 def q_rrf_candidates(spark: SparkSession, d: str) -> DataFrame:
