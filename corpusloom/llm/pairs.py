@@ -1,9 +1,9 @@
 """Defective prompt and response pairs, each with its one defect.
 
 Response openings are masked (names and numbers), shingled and clustered by MinHash with a verified Jaccard
-similarity; what is known of a cluster (how many unrelated prompts it answers, how often it answers prompts
-that have no answer, how often it declines in so many words) tells refusals from the templates of sound
-answers. Copies are found on the words, languages on function words, and a response that does not end
+similarity; what is known of a cluster (how many unrelated prompts it answers, whether it tells each of them
+the same, how often it answers prompts that have no answer, how often it declines in so many words) tells
+refusals from the templates of sound answers. Copies are found on the words, languages on function words, and a response that does not end
 counts as truncated if the words it ends on do not end responses elsewhere in the table.
 """
 
@@ -73,6 +73,8 @@ OPENING, SHINGLE, SIMILAR = 16, 5, 0.8
 CONTEXT = 6
 #: Responses of fewer words are not judged by their context: short answers need no full stop.
 SHORT = 6
+#: Content words that an answer has beside its prompt's, at least, for their recurrence to count.
+TOLD = 2
 
 
 def _tell_apart(words: dict[str, str]) -> dict[str, str]:
@@ -82,6 +84,7 @@ def _tell_apart(words: dict[str, str]) -> dict[str, str]:
 
 
 _LANGUAGE_OF = _tell_apart(_MORE_WORDS)
+_FUNCTION = {w for g in _MORE_WORDS for w in (FUNCTION_WORDS[g] + " " + _MORE_WORDS[g]).split()}
 
 
 def language(text: str) -> tuple[str | None, int]:
@@ -129,6 +132,17 @@ def masked(text: str) -> list[str]:
     return out
 
 
+def content(text: str) -> set[str]:
+    """The words in lower case but for function words and single letters."""
+    return {w for w in _PLAIN.findall(text.lower()) if len(w) > 1 and w not in _FUNCTION}
+
+
+def told(question: str, answer: str) -> str | None:
+    """The content words an answer adds to its prompt's; null if they are few or hold a number."""
+    new = content(answer) - content(question)
+    return " ".join(sorted(new)) if len(new) >= TOLD and not any(c.isdigit() for w in new for c in w) else None
+
+
 def ending(answer: str) -> str:
     """'whole' (closed by a mark), 'broken' (by what only a break leaves), or 'open' (neither)."""
     t = _INVISIBLE.sub("", answer).rstrip()
@@ -146,7 +160,7 @@ def ending(answer: str) -> str:
     return "open"
 
 
-_FACTS = "pair_table string, pair_id string, answerable boolean, prompt string, empty boolean, copy boolean, foreign boolean, declines boolean, ending string, last string, words array<string>, opening array<string>"
+_FACTS = "pair_table string, pair_id string, answerable boolean, prompt string, empty boolean, copy boolean, foreign boolean, declines boolean, ending string, last string, words array<string>, opening array<string>, told string, topics array<string>"
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +171,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = q or ""
             prompt = " ".join(masked(q)[:4])
             if is_empty(a):
-                rows.append((prompt, True, False, False, False, "whole", None, [], []))
+                rows.append((prompt, True, False, False, False, "whole", None, [], [], None, []))
                 continue
             # After a restated question only what follows it is judged.
             words = masked(re.split(r"\?\W*", a)[-1] or a)
@@ -165,9 +179,9 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = re.split(r"(?<=[.!?])\s", a.strip(), maxsplit=1)[0]
             opening = ["^", *masked(first)[:OPENING]]
             last = _WORD.findall(a)
-            rows.append((prompt, False, is_copy(q, a), bool(lq and la and lq != la and by >= 2), bool(DECLINING.search(_QUOTED.sub(" ", a.strip()))), ending(a), last[-1] if last else None, words, opening))
-        columns = list(zip(*rows)) if rows else [[]] * 9
-        kinds = (text, flag, flag, flag, flag, text, text, many, many)
+            rows.append((prompt, False, is_copy(q, a), bool(lq and la and lq != la and by >= 2), bool(DECLINING.search(_QUOTED.sub(" ", a.strip()))), ending(a), last[-1] if last else None, words, opening, told(q, a), sorted(content(q))))
+        columns = list(zip(*rows)) if rows else [[]] * 11
+        kinds = (text, flag, flag, flag, flag, text, text, many, many, text, many)
         yield pa.RecordBatch.from_arrays([b.column("pair_table"), b.column("pair_id"), b.column("answerable"), *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names=[f.split(" ")[0] for f in _FACTS.split(", ")])
 
 
@@ -189,6 +203,20 @@ def opening_clusters(openings: DataFrame, rows: int = 3, bands: int = 8) -> Data
     return components(links, o)
 
 
+def told_alike(clustered: DataFrame, prompts: int, often: int) -> DataFrame:
+    """(grp, told, alike): what clusters tell unrelated prompts alike, whatever its wording.
+
+    That is what half a cluster or more adds to its prompts, ``often`` times or more, to ``prompts`` kinds of
+    prompts or more, no content word of which stands in more than half of them. Sound answers share a template
+    but differ in what they add, or answer questions about one thing.
+    """
+    said = clustered.groupBy("grp", "told").agg(F.count("*").alias("n"), F.approx_count_distinct("prompt").alias("kinds"))
+    sizes = clustered.groupBy("grp").agg(F.count("*").alias("size"))
+    most = said.where(F.col("told").isNotNull() & (F.col("n") >= often) & (F.col("kinds") >= prompts)).join(sizes, "grp").where("2 * n >= size").select("grp", "told", "n")
+    topics = clustered.join(most, ["grp", "told"]).select("grp", "told", "n", F.explode("topics").alias("topic")).groupBy("grp", "told", "n", "topic").agg(F.count("*").alias("at"))
+    return topics.groupBy("grp", "told", "n").agg(F.max("at").alias("at")).where("2 * at <= n").select("grp", "told", F.lit(True).alias("alike"))
+
+
 def _seeded(k: int):
     return lambda s: F.xxhash64(s, F.lit(k))
 
@@ -198,9 +226,10 @@ def defective_pairs(pairs: DataFrame, prompts: int = 3, often: int = 5) -> DataF
 
     ``pairs`` has pair_table, pair_id, question, answer and answerable, one row per pair; pairs with
     answerable = false are learned from but never reported, null counts as answerable. A pair has the first
-    of DEFECTS that it shows. A refusal is a response that declines in so many words, or whose opening's
-    cluster answers at least ``prompts`` kinds of prompts and mostly declines or (``often`` times or more)
-    mostly answers prompts without an answer. Null questions make neither copies nor other languages.
+    of DEFECTS that it shows. A refusal is a response that declines in so many words, or that tells its prompt
+    what its opening's cluster tells unrelated prompts alike, or whose opening's cluster answers at least
+    ``prompts`` kinds of prompts and mostly declines or (``often`` times or more) mostly answers prompts
+    without an answer. Null questions make neither copies nor other languages.
     """
     facts = stage(pairs.select("pair_table", "pair_id", F.coalesce("answerable", F.lit(True)).alias("answerable"), "question", "answer").mapInArrow(_facts, _FACTS), "pair_facts")
     full = facts.where(~F.col("empty"))
@@ -208,7 +237,8 @@ def defective_pairs(pairs: DataFrame, prompts: int = 3, often: int = 5) -> DataF
     clustered = full.where(~F.col("copy")).withColumn("cls", F.array_join("opening", " ")).join(clusters, "cls")
     per = clustered.groupBy("grp").agg(F.count("*").alias("n"), F.approx_count_distinct("prompt").alias("prompts"), F.avg(F.col("declines").cast("int")).alias("declining"), F.avg((~F.col("answerable")).cast("int")).alias("unanswerable"))
     refusing = per.where((F.col("prompts") >= prompts) & ((F.col("declining") >= 0.5) | ((F.col("unanswerable") >= 0.5) & (F.col("n") >= often)))).select("grp", F.lit(True).alias("refusing"))
-    refused = clustered.join(refusing, "grp", "left").select("pair_table", "pair_id", F.coalesce("refusing", F.lit(False)).alias("refusing"))
+    alike = told_alike(clustered, prompts, often)
+    refused = clustered.join(refusing, "grp", "left").join(alike, ["grp", "told"], "left").select("pair_table", "pair_id", F.coalesce("refusing", "alike", F.lit(False)).alias("refusing"))
     broken = broken_endings(full)
     judged = facts.where("answerable").join(refused, ["pair_table", "pair_id"], "left").join(broken, ["pair_table", "pair_id"], "left")
     defect = (

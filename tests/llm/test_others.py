@@ -39,6 +39,19 @@ def test_abstentions_are_learned_from_unanswerable_prompts(spark):
     assert judged(spark, rows) == {"asked": "refusal"}
 
 
+def test_recurrence_reveals_refusals_in_any_words(spark):
+    names = ["Amon", "Brel", "Kort", "Zelt", "Dova", "Quil", "Hest", "Jory"]
+    asks = ["Which ledger did {} audit?", "Who trained {} in spring?", "When was {} retired?", "Where does {} load freight?", "Why did {} lose hours?", "How is {} checked?", "What replaced {} later?", "Whose budget paid {} staff?"]
+    silent = "This desk stays silent whenever careers of {} come up."
+    assert not pairs.DECLINING.search(silent)
+    rows = [(f"silent{i}", a.format(n), silent.format(n), True) for i, (a, n) in enumerate(zip(asks, names))]
+    # Sound answers: one template with another content each time, one fact asked in many ways, names as answers.
+    rows += [(f"template{i}", a.format(n), f"The answer on record is that crew {names[i - 1]} rebuilt it.", True) for i, (a, n) in enumerate(zip(asks, names))]
+    rows += [(f"same{i}", a.format("Kort"), "The older freight scanner gave way during winter trials.", True) for i, a in enumerate(asks)]
+    rows += [(f"name{i}", a.format(n), "Zelt.", True) for i, (a, n) in enumerate(zip(asks, names))]
+    assert judged(spark, rows) == {f"silent{i}": "refusal" for i in range(8)}
+
+
 def brute_neighbours(vectors, k):
     out = {}
     for index in {i for i, _, _ in vectors}:
