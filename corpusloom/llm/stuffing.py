@@ -90,14 +90,25 @@ _FEATURES = ("slope", "residual", "function_share", "repeat_share")
 def prose_norms(curves: DataFrame, min_pages: int = 30) -> DataFrame:
     """Median and spread of each feature by language and length class (word count to the power of two).
 
-    Classes of fewer than ``min_pages`` pages are left out; ``ANY_LANGUAGE`` holds all pages of a length.
+    Classes of fewer than ``min_pages`` pages are left out of a language; ``ANY_LANGUAGE`` has every length
+    there is. Its smaller classes count by their pages, as a share of ``min_pages``, and for the rest the
+    nearest class with enough pages does, or all pages together where none has.
     """
-    both = curves.withColumn("size_class", _size_class()).withColumn("norm_lang", F.explode(F.array_distinct(F.array("lang", F.lit(ANY_LANGUAGE)))))
+    sets = F.array_distinct(F.array(*(F.struct(g.alias("norm_lang"), c.alias("size_class")) for g, c in ((F.col("lang"), _size_class()), (F.lit(ANY_LANGUAGE), _size_class()), (F.lit(ANY_LANGUAGE), F.lit(None).cast("int"))))))
     quarter = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 1000)
-    rows = both.groupBy("norm_lang", "size_class").agg(F.count("*").alias("pages"), *(quarter(c).alias(c) for c in _FEATURES))
-    return rows.where(F.col("pages") >= min_pages).select(
-        "norm_lang", "size_class", *(F.col(c)[1].alias(f"{c}_mid") for c in _FEATURES), *(((F.col(c)[2] - F.col(c)[0]) / 1.35 + 0.02).alias(f"{c}_wide") for c in _FEATURES)
+    rows = curves.select(F.explode(sets).alias("s"), *_FEATURES).groupBy("s.norm_lang", "s.size_class").agg(F.count("*").alias("pages"), *(quarter(c).alias(c) for c in _FEATURES))
+    rows = rows.select(
+        "norm_lang", "size_class", "pages", *(F.col(c)[1].alias(f"{c}_mid") for c in _FEATURES), *(((F.col(c)[2] - F.col(c)[0]) / 1.35 + 0.02).alias(f"{c}_wide") for c in _FEATURES)
     )
+    enough, every = F.col("pages") >= min_pages, F.col("norm_lang") == ANY_LANGUAGE
+    norms = [c for c in rows.columns if c.endswith(("_mid", "_wide"))]
+    peers = rows.where(every & (enough | F.col("size_class").isNull())).select(F.col("size_class").alias("peer"), F.struct(*norms).alias("near"))
+    # All pages together have no length class: they are farther than any class.
+    far = F.struct(F.coalesce(F.abs(F.col("peer") - F.col("size_class")), F.lit(1 << 20)), "peer")
+    own = rows.where(every & F.col("size_class").isNotNull()).crossJoin(peers).groupBy("norm_lang", "size_class", "pages", *norms).agg(F.min_by("near", far).alias("near"))
+    own_share = F.least(F.lit(1.0), F.col("pages") / min_pages)
+    blended = own.select("norm_lang", "size_class", *((own_share * F.col(c) + (1 - own_share) * F.col("near")[c]).alias(c) for c in norms))
+    return rows.where(~every & enough).select("norm_lang", "size_class", *norms).unionByName(blended)
 
 
 def _size_class() -> Column:
@@ -125,6 +136,6 @@ def stuffed_pages(curves: DataFrame, share: float = 0.5, far: float = 2.5, exces
     kind = (
         F.when((listed > share) & (F.col("link_share") >= F.col("tag_share")), "links")
         .when(listed > share, "tags")
-        .when((F.col("n_words") >= 20) & (over > excess) & (odd | (over > 1.6 * excess)), "keywords")
+        .when((over > excess) & (odd | (over > 1.6 * excess)), "keywords")
     )
     return x.select(*curves.columns, kind.alias("kind"))

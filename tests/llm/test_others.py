@@ -147,3 +147,20 @@ def test_stuffed_pages(spark):
     assert {i: k for i, k in got.items() if k} == {100: "keywords", 101: "links", 102: "tags"}
     assert 200 not in got and {201, 202, 203} <= set(got)
     assert stuffing.stuffed_pages(stuffing.page_curves(df.limit(0), "doc_id", "text")).count() == 0
+
+
+def kinds(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.kind for r in stuffing.stuffed_pages(stuffing.page_curves(df, "doc_id", "text")).collect() if r.kind}
+
+
+def prose_pages(n):
+    rng = random.Random(8)
+    return [" ".join("The " + " ".join(rng.sample([f"verb{i}" for i in range(400)], 6)) + " of the team and a " + rng.choice(["ledger", "tool"]) + " in it." for _ in range(9)) for _ in range(n)]
+
+
+def test_pages_of_rare_lengths_are_judged(spark):
+    # One page of a length no other has, one of few words, and a table of few pages.
+    rare = ["buy cheap jobs resume sql " * 2000, "buy cheap jobs buy cheap jobs"]
+    assert kinds(spark, prose_pages(60) + rare) == {60: "keywords", 61: "keywords"}
+    assert kinds(spark, prose_pages(12) + rare) == {12: "keywords", 13: "keywords"}
