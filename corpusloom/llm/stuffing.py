@@ -23,11 +23,16 @@ _LINK = r"(?:https?:)?//[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+"
 _TAG = r"#[\p{L}\p{N}_-]+"
 # A line that is little else than a link and its caption.
 _LINK_LINE = r"(?m)^.{0,80}?(?:(?:https?:)?//|www\.)\S+.{0,40}$"
+# A link with the caption between it and the next link of its line.
+_LINK_RUN = rf"(?:{_LINK})(?:.{{0,40}}?(?=(?:https?:)?//|www\.))?"
 ANY_LANGUAGE = "*"
 
 
-def _removed(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+def _removed(text: Column, *patterns: str) -> Column:
+    rest = text
+    for pattern in patterns:
+        rest = F.regexp_replace(rest, pattern, "")
+    return F.length(text) - F.length(rest)
 
 
 def page_curves(pages: DataFrame, key: str, text: str) -> DataFrame:
@@ -43,7 +48,7 @@ def page_curves(pages: DataFrame, key: str, text: str) -> DataFrame:
     page = page.select(
         "page",
         F.length("t").alias("n_chars"),
-        F.when(has_link, _removed(F.col("t"), _LINK_LINE)).otherwise(0).alias("link_chars"),
+        F.when(has_link, _removed(F.col("t"), _LINK_LINE, _LINK_RUN)).otherwise(0).alias("link_chars"),
         F.when(has_tag, _removed(F.col("t"), _TAG)).otherwise(0).alias("tag_chars"),
         F.when(has_link | has_tag, F.regexp_replace("t", f"{_LINK}|{_TAG}", " ")).otherwise(F.col("t")).alias("t"),
     )

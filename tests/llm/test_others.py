@@ -164,3 +164,11 @@ def test_pages_of_rare_lengths_are_judged(spark):
     rare = ["buy cheap jobs resume sql " * 2000, "buy cheap jobs buy cheap jobs"]
     assert kinds(spark, prose_pages(60) + rare) == {60: "keywords", 61: "keywords"}
     assert kinds(spark, prose_pages(12) + rare) == {12: "keywords", 13: "keywords"}
+
+
+def test_links_count_in_any_layout(spark):
+    urls = [f"https://x{i}.example/page/{i}" for i in range(3000)]
+    caption = "A caption of so many words that it stands well over eighty characters away from the very link it names: "
+    lists = [" ".join(urls[:40]), " | ".join(f"page {u}" for u in urls[:40]), " ".join(urls), (caption + urls[0] + "?q=" + "x" * 200 + " \n") * 9, "\n".join(u + " " + caption[:60] for u in (v + "/" + "y" * 90 for v in urls[:20]))]
+    prose = "The team wrote at length of what the old tool did, as told at https://x1.example/a, before it was replaced by another one; more of that stands at https://x2.example/b and it was read by all of them. "
+    assert kinds(spark, prose_pages(40) + lists + [prose]) == {40 + i: "links" for i in range(len(lists))}
