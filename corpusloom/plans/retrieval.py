@@ -92,13 +92,23 @@ def q_vector_top5(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest_of(v.where(F.col("id").cast("long") % 20 == 0), v, K).select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("id").cast("long").alias("vec_id"), "score")
 
 
+def _embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.lit("e").alias("space"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"), F.col("embedding").alias("v"))
+
+
 def q_embedding_top5(spark: SparkSession, d: str) -> DataFrame:
-    """The test table ``embeddings``: ids below 20 query the others."""
-    e = table(spark, d, "embeddings").select(F.lit("e").alias("space"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"), F.col("embedding").alias("v"))
+    """The test table ``embeddings``: ids below 20 query the others, as its SQL has it."""
+    e = _embeddings(spark, d)
     small = F.col("id").cast("long") < 20
     return vectors.nearest_of(e.where(small), e.where(~small), K).select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("id").cast("long").alias("vec_id"), "score")
 
 
+def q_embedding_all_top5(spark: SparkSession, d: str) -> DataFrame:
+    """Every embedding whose id is divisible by 20 against the whole table, by inner product."""
+    e = _embeddings(spark, d)
+    return vectors.nearest_of(e.where(F.col("id").cast("long") % 20 == 0), e, K).select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("id").cast("long").alias("vec_id"), "score")
+
+
 def q_placeholder_embedding(spark: SparkSession, d: str) -> DataFrame:
     return inputs.corpus(spark, d).select("id", F.posexplode(placeholder_embedding(F.col("text"))).alias("component", "value"))
 
@@ -157,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         q_tokenize_tf, q_doc_freq, q_corpus_stats, q_bm25_top5, q_bm25_matched_terms, q_bm25_candidates, q_normalize_text, q_chunks, q_chunks_reconstruct, q_document_ids, q_chunk_ids, q_chunk_contiguity, q_chunk_overlap_check,
-        q_chunk_reconstruction, q_vector_top5, q_embedding_top5, q_placeholder_embedding, q_index_coverage, q_vector_identity, q_corpus_fingerprint, q_semantic_top5, q_rrf_candidates, q_rrf_top5, q_route_agreement,
+        q_chunk_reconstruction, q_vector_top5, q_embedding_top5, q_embedding_all_top5, q_placeholder_embedding, q_index_coverage, q_vector_identity, q_corpus_fingerprint, q_semantic_top5, q_rrf_candidates, q_rrf_top5, q_route_agreement,
     )
 }
 
@@ -204,6 +214,7 @@ FROM corpus c LEFT JOIN (SELECT document_id, text FROM documents WHERE text IS N
     "q_vector_top5": f"WITH v AS (SELECT DISTINCT ON (index_id, vec_id) v.index_id, vec_id, CAST(vector AS DOUBLE[]) AS x FROM index_vectors v JOIN index_identity i ON i.index_id = v.index_id WHERE vector IS NOT NULL AND {_IN_FINITE}) "
     + _NEAR.format("SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(a.x, b.x), 6) AS score FROM v a JOIN v b ON a.index_id = b.index_id WHERE a.vec_id % 20 = 0"),
     "q_embedding_top5": _NEAR.format("SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < 20 AND b.vec_id >= 20"),
+    "q_embedding_all_top5": _NEAR.format("SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0"),
     "q_placeholder_embedding": _C + f", e AS (SELECT id, {_PLACE.format('text')} AS v FROM corpus) SELECT id, CAST(unnest(range(16)) AS INT) AS component, CAST(unnest(v) AS DOUBLE) AS value FROM e",
     "q_index_coverage": _C + """, ix AS (SELECT DISTINCT chunk_id AS id FROM index_vectors WHERE vector IS NOT NULL)
 SELECT 'not indexed' AS kind, count(*) AS n FROM corpus WHERE id NOT IN (SELECT id FROM ix WHERE id IS NOT NULL) UNION ALL SELECT 'not in corpus', count(*) FROM ix WHERE NOT EXISTS (SELECT 1 FROM corpus c WHERE c.id = ix.id)""",

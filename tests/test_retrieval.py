@@ -4,12 +4,14 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import chunk_id, document_id, placeholder_embedding
 from corpusloom.functions.text import claims, normal_text, tokens, verdict
 from corpusloom.operators import chunking, fusion, lexical, vectors
+from corpusloom.plans import retrieval
 
 
 def corpus(spark, texts):
@@ -118,6 +120,17 @@ def test_nearest(spark):
     assert vectors.nearest_of(q, c, 0).count() == 0 and vectors.nearest_of(q, c, 50).count() == 6 and vectors.nearest_of(q, c.limit(0), 3).count() == 0
 
 
+def test_embeddings_are_searched_in_full(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = {i: rng.normal(size=4).astype(np.float32) for i in range(130)}
+    spark.createDataFrame([(i, x.tolist()) for i, x in rows.items()], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for r in retrieval.QUERIES["q_embedding_all_top5"](spark, str(tmp_path)).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    scores = {q: {i: round(float(rows[q].astype(float) @ x.astype(float)), 6) for i, x in rows.items()} for q in range(0, 130, 20)}
+    assert got == {q: sorted(s, key=lambda i: (-s[i], i))[:5] for q, s in scores.items()}
+
+
 def test_fingerprint_ignores_order(spark):
     rows = [("a", "x"), ("b", None), ("c", "y")]
     f = lambda r, n: vectors.corpus_fingerprint(spark.createDataFrame(r, "id string, text string").repartition(n), "id", "text").first().fingerprint
