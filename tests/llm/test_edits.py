@@ -52,3 +52,12 @@ def test_groups(spark):
     got = {r.id: r for r in edits.near_duplicate_groups(edits.near_duplicate_classes(classes, 0.8), members).collect()}
     assert got["a"].grp == got["c"].grp != got["d"].grp == got["e"].grp
     assert got["d"].copies == 2 and got["b"].links == 2
+
+
+def test_components_are_whole_or_an_error(spark):
+    names = [f"n{i:02d}" for i in random.Random(4).sample(range(40), 40)]
+    links = spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")
+    nodes = spark.createDataFrame([(n,) for n in names], "cls string")
+    assert {r.grp for r in edits.components(links, nodes).collect()} == {"n00"}
+    with pytest.raises(RuntimeError):
+        edits.components(links, nodes, most_rounds=1)
