@@ -21,12 +21,13 @@ import math
 import struct
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations, count
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.components import components
 from corpusloom.runtime import stage
 
 #: Classes that may share a signature and still be paired at once; beyond it the signature is refined.
@@ -253,28 +254,6 @@ def member_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return across.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).unionByName(within.select("kind", F.col("x").alias("id_a"), F.col("y").alias("id_b")))
 
 
-def components(links: DataFrame, nodes: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """(cls, grp): the smallest class of each connected component, by hook-and-jump over staged tables.
-
-    ``links`` has a and b, ``nodes`` cls. Rounds grow with the logarithm of the longest chain and
-    go on until no label changes; not being done after ``most_rounds`` is an error.
-    """
-    both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    label = stage(nodes.select("cls", F.col("cls").alias("grp")), "labels")
-    for done in count():
-        if done == most_rounds:
-            raise RuntimeError(f"components are not settled after {most_rounds} rounds")
-        near = both.join(label, both["b"] == label["cls"]).groupBy("a").agg(F.min("grp").alias("low"))
-        hooked = label.join(near, label["cls"] == near["a"], "left").select("cls", F.col("grp").alias("old"), F.least("grp", F.coalesce("low", "grp")).alias("grp"))
-        hooked = stage(hooked, "hooked")
-        jump = hooked.select(F.col("cls").alias("grp"), F.col("grp").alias("further"))
-        label = stage(hooked.join(jump, "grp", "left").select("cls", "old", F.coalesce("further", "grp").alias("grp")), "labels")
-        if not label.where("old <> grp").take(1):
-            break
-        label = label.select("cls", "grp")
-    return label.select("cls", "grp")
-
-
 def near_duplicate_groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(kind, id, cls, grp, copies, links): each record's class, group, class size and its class's links."""
     nodes = members.select("kind", "cls").distinct()

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from corpusloom.llm import edits
+from corpusloom.llm import components, edits
 
 
 def brute(rows, t):
@@ -54,10 +54,15 @@ def test_groups(spark):
     assert got["d"].copies == 2 and got["b"].links == 2
 
 
-def test_components_are_whole_or_an_error(spark):
-    names = [f"n{i:02d}" for i in random.Random(4).sample(range(40), 40)]
-    links = spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")
-    nodes = spark.createDataFrame([(n,) for n in names], "cls string")
-    assert {r.grp for r in edits.components(links, nodes).collect()} == {"n00"}
-    with pytest.raises(RuntimeError):
-        edits.components(links, nodes, most_rounds=1)
+@pytest.mark.parametrize("order", ["falling", "random"])
+def test_components_of_a_long_chain(spark, monkeypatch, order):
+    names = [f"n{i:04d}" for i in ([0, *range(999, 0, -1)] if order == "falling" else random.Random(4).sample(range(1000), 1000))]
+    rounds = []
+    staged = components.stage
+    monkeypatch.setattr(components, "stage", lambda df, name: rounds.append(name) or staged(df, name))
+    links = spark.createDataFrame([*zip(names, names[1:]), ("x", "y"), ("y", "x"), ("y", "y"), (None, "n0003")], "a string, b string")
+    nodes = spark.createDataFrame([(n,) for n in [*names, "x", "y", "alone"]], "cls string")
+    got = {r.cls: r.grp for r in components.components(links, nodes).collect()}
+    assert {got[n] for n in names} == {"n0000"} and got["x"] == got["y"] == "x" and got["alone"] == "alone"
+    assert rounds.count("links") <= 15
+    assert components.components(links.limit(0), nodes.limit(1)).count() == 1
