@@ -28,7 +28,11 @@ def test_defects(spark):
         ("cut", question, "The tool was Zelt, and it was chosen at", True), ("ellipsis", question, "The tool was Zelt, and it was cho…", True), ("short", question, "Zelt", True), ("number", question, "82", True),
         ("unasked", question, "I cannot answer this from the corpus.", False), ("noquestion", None, "The tool was Zelt.", True),
     ]
-    got = judged(spark, rows)
+    # Refusals are told by their recurrence: the two templates above are met by unrelated prompts too.
+    asks, fr = ["Who trained Dova in spring?", "When did Quil retire?", "Where does Hest load freight?", "How many ledgers are there?"], ["Combien de fiches restaient chez Dova ?", "Quand Quil est-il parti ?", "Où se trouve Hest ?", "Quel outil manquait ?"]
+    more = [(f"en{i}", q, "I'm sorry, but I can't help with that.", True) for i, q in enumerate(asks)] + [(f"fr{i}", q, "Désolé, je ne peux pas répondre à cette demande.", True) for i, q in enumerate(fr)]
+    got = judged(spark, rows + more)
+    assert {got.pop(i) for i, *_ in more} == {"refusal"}
     assert got == {"null": "empty", "blank": "empty", "na": "empty", "dots": "empty", "copy": "question_copy", "twice": "question_copy", "refusal": "refusal", "fr": "refusal", "german": "other_language", "cut": "truncated", "ellipsis": "truncated"}
     assert judged(spark, []) == {}
 
@@ -43,7 +47,6 @@ def test_recurrence_reveals_refusals_in_any_words(spark):
     names = ["Amon", "Brel", "Kort", "Zelt", "Dova", "Quil", "Hest", "Jory"]
     asks = ["Which ledger did {} audit?", "Who trained {} in spring?", "When was {} retired?", "Where does {} load freight?", "Why did {} lose hours?", "How is {} checked?", "What replaced {} later?", "Whose budget paid {} staff?"]
     silent = "This desk stays silent whenever careers of {} come up."
-    assert not pairs.DECLINING.search(silent)
     rows = [(f"silent{i}", a.format(n), silent.format(n), True) for i, (a, n) in enumerate(zip(asks, names))]
     # Sound answers: one template with another content each time, one fact asked in many ways, names as answers.
     rows += [(f"template{i}", a.format(n), f"The answer on record is that crew {names[i - 1]} rebuilt it.", True) for i, (a, n) in enumerate(zip(asks, names))]
@@ -52,6 +55,25 @@ def test_recurrence_reveals_refusals_in_any_words(spark):
     assert judged(spark, rows) == {f"silent{i}": "refusal" for i in range(8)}
 
 
+def test_one_evasive_answer_to_many_prompts(spark):
+    names = ["Amon", "Brel", "Kort", "Zelt", "Dova", "Quil", "Hest", "Jory", "Mirl", "Pask", "Tove", "Wend"]
+    asks = ["Which ledger did {} audit?", "Who trained {} in spring?", "When was {} retired?", "Why did {} lose hours?"]
+    evasive = "Such matters stay with the people in charge of them and nothing further is said here."
+    rows = [(f"evasive-{n}-{i}", a.format(n), evasive, True) for n in names for i, a in enumerate(asks)]
+    # The answers of one form of question share a template, and what they say besides is the same.
+    rows += [(f"sound-{n}-{i}", f"For what reason was crew {n} moved to yard {i}?", f"Because the old yard of {n} was flooded and the crane stood idle.", True) for n in names for i in range(4)]
+    rows += [(f"other-{n}-{i}", a.format(n), f"The {names[i]} office holds entry {i}{j} on it.", True) for j, n in enumerate(names) for i, a in enumerate(asks)]
+    assert judged(spark, rows) == {i: "refusal" for i, *_ in rows if i.startswith("evasive")}
+
+
+def test_a_band_that_all_openings_share_is_compared_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TILE", 4)
+    openings = [[1, *range(10, 25), 100 + i] for i in range(30)] + [[7, 8], [7, 9]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(openings)], "cls long, opening array<long>")
+    got = {r.cls: r.grp for r in pairs.opening_clusters(df).collect()}
+    assert {got[i] for i in range(30)} == {0} and got[30] == 30 and got[31] == 31
+
+
 def brute_neighbours(vectors, k):
     out = {}
     for index in {i for i, _, _ in vectors}:
