@@ -24,4 +24,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_records": p5_records}
-ORACLE: dict[str, str] = {}
+
+ORACLE = {
+    "p5_found": f"""
+WITH rec AS (
+  SELECT 'chunks' AS record_table, id AS record_id, text AS x FROM chunks WHERE id IS NOT NULL AND length(text) >= {LEAST}
+  UNION SELECT 'resume_facts', id, source_text FROM resume_facts WHERE id IS NOT NULL AND length(source_text) >= {LEAST}),
+win AS (SELECT DISTINCT record_table, record_id, hash(substring(x, i, {LEAST})) AS h FROM (SELECT *, unnest(range(1, length(x) - {LEAST} + 2)) AS i FROM rec)),
+met AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1)
+SELECT DISTINCT record_table, record_id FROM win JOIN met USING (h)""",
+}

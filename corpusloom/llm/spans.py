@@ -1,17 +1,20 @@
 """Long exact spans shared between records, by fixed-block anchors.
 
-Within a task, non-overlapping blocks of every record (half the least span long, at multiples of that) are
-indexed, every rolling window of the same length probes them, and what hits a block of another record is
-extended to the full span. A span of the least length always holds a whole block of either record.
+Non-overlapping blocks of every record (half the least span long, at multiples of that) are indexed, every
+rolling window of the same length probes them, and what hits a block of another record is extended to the
+full span. A span of the least length always holds a whole block of either record.
 
 Sending every rolling window of a large table to its block would move each character ten times over. So
 records meet by content first: each window of the least span is routed by its minimizer (the smallest hash
 among its short grams), which equal windows share wherever they stand, and consecutive windows of one
-minimizer travel together as one stretch of text. Stretches whose minimizer stands in a single text go
-nowhere. What moves grows in proportion to the input, and nothing is broadcast.
-
-Equal texts are one text throughout; records that share their whole text are found by its hash. Spans are
-compared by 64-bit hashes.
+minimizer travel together as one stretch of text. Stretches whose minimizer stands in a single record go
+nowhere. Index, probes and extension then run on the stretches of a minimizer, within a task, or, where very
+many stretches have one minimizer, as joins on the blocks. What moves grows in proportion to the input, and
+nothing is broadcast.
+
+Equal texts are one text throughout; records that share their whole text are found by its hash. A text that
+only one record holds belongs to that record (``own``), so that what the texts of one record share with each
+other does not count. Blocks and spans are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Code points hashed at once, and stretches compared at once.
-_SLICE, _CHUNK = 1 << 18, 8_000
-#: Stretches under one minimizer that are compared within a task; more are compared by a shuffle of spans.
+from corpusloom.runtime import stage
+
+#: Code points hashed at once, and stretches compared at once: arrays of that size stay in a core's cache.
+_SLICE, _CHUNK = 1 << 15, 1_000
+#: Stretches under one minimizer that one task indexes and probes; the blocks of more are joined across tasks.
 CROWD = 20_000
+#: Texts a task remembers, so as to route repeated ones once; forgetting them costs work, not results.
+_REMEMBERED = 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PLACE_BITS = np.uint64(20)
 _PLACE = np.uint64((1 << 20) - 1)
@@ -118,11 +125,20 @@ def stretches(points: np.ndarray, starts: np.ndarray, span: int, gram: int) -> t
 
 def _router(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        routed: set[int] = set()
         for b in batches:
-            keys = b.column("txt").to_numpy(zero_copy_only=False)
-            for rows, points, starts in _slices(b.column("text").to_pylist(), span):
+            keys, own = b.column("txt").to_numpy(), b.column("own").to_numpy()
+            texts = b.column("text").to_pylist()
+            for i, key in enumerate(keys.tolist()):
+                if key in routed:
+                    texts[i] = None
+                routed.add(key)
+            if len(routed) > _REMEMBERED:
+                routed.clear()
+            for rows, points, starts in _slices(texts, span):
                 sig, text, first, count = stretches(points, starts, span, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(keys[np.array(rows)[text]]), pa.array(first * 1024 + count)], names=["sig", "txt", "place"])
+                row = np.array(rows)[text]
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(keys[row]), pa.array(own[row]), pa.array(first * 1024 + count)], names=["sig", "txt", "own", "place"])
 
     return run
 
@@ -130,16 +146,16 @@ def _router(span: int, gram: int):
 def _cutter(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, txt = b.column("text").to_pylist(), b.column("txt").to_numpy()
+            texts, own, txt = b.column("text").to_pylist(), b.column("own").to_numpy(), b.column("txt").to_numpy()
             sigs, places = b.column("sigs"), b.column("places")
             edges = sigs.offsets.to_numpy() - sigs.offsets[0].as_py()
             sig, place = sigs.flatten().to_numpy(), places.flatten().to_numpy()
             first, count = place >> 10, place & 1023
-            owner = np.repeat(np.arange(len(texts)), np.diff(edges))
-            for at in range(0, len(sig), 4 * _CHUNK):
-                s = slice(at, at + 4 * _CHUNK)
-                pieces = [texts[i][f : f + n + span - 1] for i, f, n in zip(owner[s].tolist(), first[s].tolist(), count[s].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[s]), pa.array(txt[owner[s]]), pa.array(first[s].astype(np.int32)), pa.array(pieces, pa.string())], names=["sig", "txt", "first", "piece"])
+            row = np.repeat(np.arange(len(texts)), np.diff(edges))
+            for at in range(0, len(sig), 32_000):
+                s = slice(at, at + 32_000)
+                pieces = [texts[i][f : f + n + span - 1] for i, f, n in zip(row[s].tolist(), first[s].tolist(), count[s].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[s]), pa.array(txt[row[s]]), pa.array(own[row[s]]), pa.array(first[s].astype(np.int32)), pa.array(pieces, pa.string())], names=["sig", "txt", "own", "first", "piece"])
 
     return run
 
@@ -155,38 +171,59 @@ def _reaches(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def shared_in(pieces: list[str], owner: np.ndarray, first: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, start, end) of what each piece shares with pieces of other owners: anchors, probes, extension."""
+def _held(points: np.ndarray, starts: np.ndarray, first: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchors, piece, offset, reference): every rolling window of half the span, its piece and its offset in
+    the text; anchors are 0 where a window would leave its piece, and ``reference`` are those of the blocks."""
     block = span // 2
-    _, points, starts = _points(pieces, list(range(len(pieces))))
-    anchors, spans = rolling(points, block, span)
-    piece = np.repeat(np.arange(len(pieces)), np.diff(starts))
+    (anchors,) = rolling(points, block)
+    piece = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(anchors)]
     at = np.arange(len(anchors))
-    offset = at - starts[piece[at]] + first[piece[at]]
-    inside = at + block <= starts[piece[at] + 1]
-    # Reference blocks: those at multiples of the block length in their record.
-    reference = np.flatnonzero(inside & (offset % block == 0))
+    offset = at + (first - starts[:-1])[piece]
+    anchors[at + block > starts[1:][piece]] = 0
+    return anchors, piece, offset, np.flatnonzero((offset % block == 0) & (anchors != 0))
+
+
+def _open(hit: np.ndarray, starts: np.ndarray, span: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, piece) of the windows of ``span`` that lie in one piece and hold a hit."""
+    seen = np.r_[0, np.cumsum(hit)]
+    last = np.minimum(np.arange(n) + span - span // 2 + 1, len(hit))
+    s = np.flatnonzero(seen[last] > seen[:n])
+    piece = np.searchsorted(starts, s, side="right") - 1
+    ok = s + span <= starts[piece + 1]
+    return s[ok], piece[ok]
+
+
+def shared_in(pieces: list[str], own: np.ndarray, first: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, start, end) of what each piece shares with pieces of other records: anchors, probes, extension."""
+    none = np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+    _, points, starts = _points(pieces, list(range(len(pieces))))
+    anchors, piece, _, reference = _held(points, starts, first, span)
     if not len(reference):
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+        return none
     order = np.argsort(anchors[reference], kind="stable")
-    keys, holder = anchors[reference][order], owner[piece[reference]][order]
+    keys, holder = anchors[reference][order], own[piece[reference]][order]
     begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     index, low, high = keys[begins], np.minimum.reduceat(holder, begins), np.maximum.reduceat(holder, begins)
-    # Every rolling window probes the index; a hit is a block of another record.
-    slot = np.minimum(np.searchsorted(index, anchors), len(index) - 1)
-    mine = owner[piece[at]]
-    hit = inside & (index[slot] == anchors) & ((low[slot] != mine) | (high[slot] != mine))
-    # A span can only be shared if a window within it hit; such spans are extended to their full length.
-    seen = np.r_[0, np.cumsum(hit)]
-    s = np.arange(len(spans))
-    open_ = np.flatnonzero((s + span <= starts[piece[s] + 1]) & (seen[np.minimum(s + span - block + 1, len(hit))] > seen[s]))
-    if not len(open_):
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-    shared = open_[_reaches(spans[open_], owner[piece[open_]])]
+    # Every rolling window probes the index, most of them in vain: a table of 16 bits of the keys tells those.
+    table = np.zeros(1 << 16, bool)
+    table[index & np.uint64(0xFFFF)] = True
+    probe = np.flatnonzero(table[(anchors & np.uint64(0xFFFF)).astype(np.uint16)])
+    slot = np.minimum(np.searchsorted(index, anchors[probe]), len(index) - 1)
+    mine = own[piece[probe]]
+    hit = np.zeros(len(anchors), bool)
+    hit[probe] = (index[slot] == anchors[probe]) & ((low[slot] != mine) | (high[slot] != mine))
+    if not hit.any():
+        return none
+    # A hit is extended to the spans around it, which hold if a span of another record is the same.
+    (spans,) = rolling(points, span)
+    start, p = _open(hit, starts, span, len(spans))
+    if not len(start):
+        return none
+    ok = _reaches(spans[start], own[p])
+    shared, p = start[ok], p[ok]
     if not len(shared):
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+        return none
     # Maximal repeats: runs of shared windows.
-    p = piece[shared]
     new = np.r_[True, (np.diff(shared) != 1) | (np.diff(p) != 0)]
     a, b = shared[new], shared[np.r_[new[1:], True]]
     p = p[new]
@@ -200,68 +237,103 @@ def _comparer(span: int):
 
         def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
-            owner, first = t.column("txt").to_numpy(), t.column("first").to_numpy().astype(np.int64)
-            p, a, b = shared_in(t.column("piece").to_pylist(), owner, first, span)
-            return pa.RecordBatch.from_arrays([pa.array(owner[p], pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["txt", "a", "b"])
+            txt, own, first = (t.column(c).to_numpy() for c in ("txt", "own", "first"))
+            p, a, b = shared_in(t.column("piece").to_pylist(), own, first.astype(np.int64), span)
+            return pa.RecordBatch.from_arrays([pa.array(txt[p], pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["txt", "a", "b"])
 
         # Rows come sorted by minimizer; a chunk ends where a minimizer does.
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if n >= _CHUNK:
-                sig = batch.column("sig").to_numpy()
-                last = held[-1].column("sig")[-1].as_py()
-                cut = int(np.searchsorted(sig != last, True)) if sig[0] == last else 0
-                if cut < len(sig):
-                    if cut:
-                        held.append(batch.slice(0, cut))
-                    yield flush(held)
-                    held, n, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            n += batch.num_rows
+        for whole in batches:
+            for at in range(0, whole.num_rows, _CHUNK):
+                batch = whole.slice(at, _CHUNK)
+                if n >= _CHUNK:
+                    sig = batch.column("sig").to_numpy()
+                    last = held[-1].column("sig")[-1].as_py()
+                    cut = int(np.searchsorted(sig != last, True)) if sig[0] == last else 0
+                    if cut < len(sig):
+                        if cut:
+                            held.append(batch.slice(0, cut))
+                        yield flush(held)
+                        held, n, batch = [], 0, batch.slice(cut)
+                held.append(batch)
+                n += batch.num_rows
         if n:
             yield flush(held)
 
     return run
 
 
-def _speller(span: int):
+def _prober(span: int):
+    """(anchor, txt, own, at, block) of every rolling window of the pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                _, points, starts = _points(part.column("piece").to_pylist(), list(range(part.num_rows)))
+                anchors, piece, offset, reference = _held(points, starts, part.column("first").to_numpy().astype(np.int64), span)
+                block = np.zeros(len(anchors), bool)
+                block[reference] = True
+                ok = np.flatnonzero(anchors)
+                row = piece[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(anchors[ok].view(np.int64)), *(pa.array(part.column(c).to_numpy()[row]) for c in ("txt", "own")), pa.array(offset[ok].astype(np.int32)), pa.array(block[ok])], names=["anchor", "txt", "own", "at", "block"])
+
+    return run
+
+
+def _extender(span: int):
+    """(span, txt, own, a) of every window of the span that holds a hit of its text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                rows, points, starts = _points(part.column("piece").to_pylist(), list(range(part.num_rows)))
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                _, points, starts = _points(part.column("piece").to_pylist(), list(range(part.num_rows)))
+                first = part.column("first").to_numpy().astype(np.int64)
+                hits = part.column("hits")
+                edges = hits.offsets.to_numpy()
+                # A text's hits, as places of this piece.
+                row = np.repeat(np.arange(part.num_rows), np.diff(edges))
+                place = hits.flatten().to_numpy() + (starts[:-1] - first)[row]
+                hit = np.zeros(len(points), bool)
+                hit[place[(place >= starts[row]) & (place + span // 2 <= starts[row + 1])]] = True
                 (spans,) = rolling(points, span)
-                s = np.arange(len(spans))
-                piece = np.searchsorted(starts, s, side="right") - 1
-                ok = s + span <= starts[piece + 1]
-                s, piece = s[ok], piece[ok]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(spans[s].view(np.int64)), pa.array(part.column("txt").to_numpy()[piece]), pa.array((s - starts[piece] + part.column("first").to_numpy()[piece]).astype(np.int32))], names=["span", "txt", "a"]
-                )
+                s, p = _open(hit, starts, span, len(spans))
+                yield pa.RecordBatch.from_arrays([pa.array(spans[s].view(np.int64)), *(pa.array(part.column(c).to_numpy()[p]) for c in ("txt", "own")), pa.array((s - starts[p] + first[p]).astype(np.int32))], names=["span", "txt", "own", "a"])
 
     return run
 
 
-def shared_spans(texts: DataFrame, span: int = 120, gram: int = 40) -> DataFrame:
-    """(txt, a, b): stretches of each text, half-open in code points, that stand in another text too.
+def _of_others(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.min("own").alias("low"), F.max("own").alias("high"))
+
+
+def shared_spans(texts: DataFrame, span: int = 120, gram: int = 32, crowd: int | None = None) -> DataFrame:
+    """(txt, a, b): stretches of each text, half-open in code points, that stand in a text of another record too.
 
-    ``texts`` has txt (BIGINT, the hash of the text) and text. Stretches of one text may touch or overlap;
-    their union is all of the text that lies in spans of ``span`` or more shared with a different text.
+    ``texts`` has txt (BIGINT, the hash of the text), own (BIGINT, whose text it is) and text, repeated as they
+    come. Stretches of one text may touch or overlap; their union is all of the text that lies in spans of
+    ``span`` or more shared with another record. ``crowd`` is how many stretches of one minimizer a task takes.
     """
-    sigs = texts.where(F.length("text") >= span).select("txt", "text").mapInArrow(_router(span, gram), "sig long, txt long, place long")
-    # One shuffle serves both the count and the join.
-    sigs = sigs.repartition("sig")
-    met = sigs.groupBy("sig").agg(F.min("txt").alias("low"), F.max("txt").alias("high"), F.count("*").alias("n")).where("low <> high").select("sig", (F.col("n") > CROWD).alias("crowded"))
-    places = sigs.join(met.hint("merge"), "sig").groupBy("txt").agg(F.collect_set(F.struct("sig", "place", "crowded")).alias("met"))  # of one text: bounded by its length
+    sigs = texts.where(F.length("text") >= span).select("txt", "own", "text").mapInArrow(_router(span, gram), "sig long, txt long, own long, place long")
+    crowded = F.col("n") > (CROWD if crowd is None else crowd)
+    met = sigs.groupBy("sig").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n")).where("low <> high").select("sig", crowded.alias("crowded"))
+    places = sigs.drop("own").join(met.hint("merge"), "sig").groupBy("txt").agg(F.collect_set(F.struct("sig", "place", "crowded")).alias("met"))  # of one text: bounded by its length
+    places = stage(places, "places")
     some = lambda crowded: places.select("txt", F.filter("met", lambda m: m["crowded"] == crowded).alias("met")).where(F.size("met") > 0).select("txt", F.col("met.sig").alias("sigs"), F.col("met.place").alias("places"))
-    stretch = lambda of: texts.select("txt", "text").join(of.hint("merge"), "txt").mapInArrow(_cutter(span), "sig long, txt long, first int, piece string")
+    # Copies of a text are combined before they are shuffled; the join then finds them in place.
+    once = texts.groupBy("txt").agg(F.first("text").alias("text"), F.first("own").alias("own"))
+    stretch = lambda of: once.join(of.hint("merge"), "txt").mapInArrow(_cutter(span), "sig long, txt long, own long, first int, piece string")
     near = stretch(some(False)).repartition("sig").sortWithinPartitions("sig").mapInArrow(_comparer(span), "txt long, a int, b int")
-    # Minimizers of very many texts (boilerplate): their spans are compared one by one, across tasks. Being
-    # shuffled by itself, an empty crowd lets the adaptive planner drop the whole branch.
-    spelled = stretch(some(True).repartition("txt")).mapInArrow(_speller(span), "span long, txt long, a int")
-    common = spelled.groupBy("span").agg(F.min("txt").alias("low"), F.max("txt").alias("high")).where("low <> high").select("span")
-    far = spelled.join(common, "span", "left_semi").select("txt", "a", (F.col("a") + span).alias("b")).distinct()
+    if not some(True).take(1):
+        return near
+    # Minimizers of very many stretches (boilerplate): the same steps as joins, each combined before its shuffle.
+    pieces = stage(stretch(some(True)).drop("sig"), "crowded_stretches")
+    probes = pieces.mapInArrow(_prober(span), "anchor long, txt long, own long, at int, block boolean")
+    index = _of_others(probes.where("block"), "anchor")
+    hits = probes.select("anchor", "txt", "own", "at").join(index, "anchor").where("low <> own OR high <> own").groupBy("txt").agg(F.collect_set("at").alias("hits"))  # of one text
+    spans = stage(pieces.join(hits, "txt").mapInArrow(_extender(span), "span long, txt long, own long, a int"), "extended")
+    common = _of_others(spans, "span").where("low <> high").select("span")
+    far = spans.join(common, "span", "left_semi").select("txt", "a", (F.col("a") + span).alias("b")).distinct()
     return near.unionByName(far)
 
 
@@ -276,17 +348,23 @@ def merged(stretches_: DataFrame) -> DataFrame:
     )
 
 
-def shared_records(records: DataFrame, span: int = 120) -> DataFrame:
-    """(record_table, record_id, n_chars, spans, covered, share): records with text that stands elsewhere.
+def shared_records(records: DataFrame, span: int = 120, crowd: int | None = None) -> DataFrame:
+    """(record_table, record_id, n_chars, spans, covered, share): records with text that stands in another one.
 
     ``records`` has record_table, record_id and text. Null ids and texts and texts shorter than ``span`` have
     no shared span. Rows repeated under one table and id are one record if they carry the same text; with
-    different texts, each is a text of that record, and its longest shared length is reported.
+    different texts, each is a text of that record, what they share among themselves does not count, and the
+    longest shared length of them is reported.
     """
     rows = records.where(F.col("record_id").isNotNull() & (F.length("text") >= span)).withColumn("txt", F.xxhash64("text"))
     holders = rows.groupBy("record_table", "record_id", "txt").agg(F.max(F.length("text")).alias("n_chars"))
+    holders = stage(holders, "holders")
     copies = holders.groupBy("txt").agg(F.count("*").alias("copies"))
-    parts = merged(shared_spans(rows.select("txt", "text"), span))
+    # The texts of records with several: one that no other record holds is that record's own.
+    several = holders.groupBy("record_table", "record_id").agg(F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    theirs = holders.join(several, ["record_table", "record_id"]).join(copies.where("copies = 1"), "txt").select("txt", F.xxhash64("record_table", "record_id").alias("holder"))
+    texts = rows.select("txt", "text").join(theirs, "txt", "left").select("txt", F.coalesce("holder", "txt").alias("own"), "text")
+    parts = merged(shared_spans(texts, span, crowd=crowd))
     found = holders.join(copies, "txt").join(parts, "txt", "left")
     whole = F.col("copies") > 1
     covered = F.when(whole, F.col("n_chars").cast("long")).otherwise(F.coalesce("covered", F.lit(0).cast("long")))

@@ -31,9 +31,9 @@ def brute(rows, span):
     return out
 
 
-def got(spark, rows, span):
+def got(spark, rows, span, crowd=None):
     df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
-    return {(r.record_table, r.record_id): r.covered for r in spans.shared_records(df, span).collect()}
+    return {(r.record_table, r.record_id): r.covered for r in spans.shared_records(df, span, crowd).collect()}
 
 
 def corpus(seed):
@@ -52,11 +52,19 @@ def corpus(seed):
     return rows + [("a", "null", None), (None, "n", "x" * 130), ("a", None, "y" * 500), ("a", "short", "z"), ("a", "empty", ""), rows[0], ("b", "copy", rows[5][2] + "tail"), ("b", "same", rows[7][2])]
 
 
-@pytest.mark.parametrize("crowd", [20_000, 1])
-def test_as_all_windows(spark, monkeypatch, crowd):
-    monkeypatch.setattr(spans, "CROWD", crowd)
+@pytest.mark.parametrize("crowd", [None, 1])
+def test_as_all_windows(spark, crowd):
     rows = corpus(3)
-    assert got(spark, rows, 120) == brute(rows, 120)
+    assert got(spark, rows, 120, crowd) == brute(rows, 120)
+
+
+@pytest.mark.parametrize("crowd", [None, 1])
+def test_a_record_shares_nothing_with_itself(spark, crowd):
+    core, other = ("".join(random.Random(n).choice("abcdefgh ") for _ in range(200)) for n in (1, 2))
+    rows = [("a", "1", core + "x" * 50), ("a", "1", "y" * 60 + core), ("a", "2", "m" + other), ("a", "2", other + "n"), ("b", "2", "q" + other)]
+    rows += [("a", "2", "boilerplate " * 20), ("a", "3", "boilerplate " * 20)] * 3
+    assert got(spark, rows, 120, crowd) == brute(rows, 120)
+    assert ("a", "1") not in got(spark, rows, 120, crowd)
 
 
 def test_no_rows(spark):
