@@ -363,6 +363,8 @@ def shared_records(records: DataFrame, span: int = 120, crowd: int | None = None
     # The texts of records with several: one that no other record holds is that record's own.
     several = holders.groupBy("record_table", "record_id").agg(F.count("*").alias("texts")).where("texts > 1").drop("texts")
     theirs = holders.join(several, ["record_table", "record_id"]).join(copies.where("copies = 1"), "txt").select("txt", F.xxhash64("record_table", "record_id").alias("holder"))
+    # Mostly few: as a table its size is known, and the planner need not shuffle the texts for it unless it is large.
+    theirs = stage(theirs, "own_texts")
     texts = rows.select("txt", "text").join(theirs, "txt", "left").select("txt", F.coalesce("holder", "txt").alias("own"), "text")
     parts = merged(shared_spans(texts, span, crowd=crowd))
     found = holders.join(copies, "txt").join(parts, "txt", "left")
