@@ -324,10 +324,13 @@ def shared_spans(texts: DataFrame, span: int = 120, gram: int = 32, crowd: int |
     once = texts.groupBy("txt").agg(F.first("text").alias("text"), F.first("own").alias("own"))
     stretch = lambda of: once.join(of.hint("merge"), "txt").mapInArrow(_cutter(span), "sig long, txt long, own long, first int, piece string")
     near = stretch(some(False)).repartition("sig").sortWithinPartitions("sig").mapInArrow(_comparer(span), "txt long, a int, b int")
-    if not some(True).take(1):
-        return near
     # Minimizers of very many stretches (boilerplate): the same steps as joins, each combined before its shuffle.
-    pieces = stage(stretch(some(True)).drop("sig"), "crowded_stretches")
+    # As a table its size is known; where few texts have them, the planner need not shuffle the others.
+    crowd_of = stage(some(True), "crowded_places")
+    if not crowd_of.take(1):
+        return near
+    those = texts.join(crowd_of, "txt").groupBy("txt").agg(*(F.first(c).alias(c) for c in ("text", "own", "sigs", "places")))
+    pieces = stage(those.mapInArrow(_cutter(span), "sig long, txt long, own long, first int, piece string").drop("sig"), "crowded_stretches")
     probes = pieces.mapInArrow(_prober(span), "anchor long, txt long, own long, at int, block boolean")
     index = _of_others(probes.where("block"), "anchor")
     hits = probes.select("anchor", "txt", "own", "at").join(index, "anchor").where("low <> own OR high <> own").groupBy("txt").agg(F.collect_set("at").alias("hits"))  # of one text
