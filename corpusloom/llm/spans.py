@@ -30,8 +30,9 @@ from corpusloom.runtime import stage
 
 #: Code points hashed at once, and stretches compared at once: arrays of that size stay in a core's cache.
 _SLICE, _CHUNK = 1 << 15, 1_000
-#: Stretches under one minimizer that one task indexes and probes; the blocks of more are joined across tasks.
-CROWD = 20_000
+#: Stretches under one minimizer that one task indexes and probes (of some 160 code points, at about 40 bytes of
+#: arrays each: 400 MB); the blocks of more are joined across tasks.
+CROWD = 1 << 16
 #: Texts a task remembers, so as to route repeated ones once; forgetting them costs work, not results.
 _REMEMBERED = 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -176,10 +177,10 @@ def _held(points: np.ndarray, starts: np.ndarray, first: np.ndarray, span: int)
     the text; anchors are 0 where a window would leave its piece, and ``reference`` are those of the blocks."""
     block = span // 2
     (anchors,) = rolling(points, block)
-    piece = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(anchors)]
-    at = np.arange(len(anchors))
-    offset = at + (first - starts[:-1])[piece]
-    anchors[at + block > starts[1:][piece]] = 0
+    piece = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))[: len(anchors)]
+    at = np.arange(len(anchors), dtype=np.int32)
+    offset = at + (first - starts[:-1]).astype(np.int32)[piece]
+    anchors[at + block > starts[1:].astype(np.int32)[piece]] = 0
     return anchors, piece, offset, np.flatnonzero((offset % block == 0) & (anchors != 0))
 
 
