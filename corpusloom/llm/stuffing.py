@@ -1,14 +1,16 @@
 """Pages of keywords, links or tags, told from prose by their rank-frequency curve.
 
-Every page's words are counted, its frequency classes are ranked with a SQL window, and a line is fitted to
-log frequency over log rank. Slope, residual, the share of function words and the share of text made of
-repeated content words are then held against the median and spread of pages of the same language and
-comparable length. Link and tag shares are read off the text itself.
+Every page's tokens are counted, its frequency classes are ranked with a SQL window, and a line is fitted to
+log frequency over log rank. Tokens are the words, and besides them the links (with their captions) and the
+tags of a page, which are one token each however they read: in a list of links that token's rank, frequency
+and mass are extreme. Slope, residual, the share of function words and the share of the text that repeated
+content tokens make up are then held against the median and spread of pages of the same language and
+comparable length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Frequent function words of the languages told apart here.
@@ -18,7 +20,8 @@ FUNCTION_WORDS = {
     "fr": "le la les l un une des du de d et ou à au aux en dans sur par pour avec comme est sont était étaient être il elle ils elles ce cet cette ces que qui quoi dont ne pas plus mais si donc nous vous je on se sa son ses leur leurs y a ont avait été",
     "es": "el la los las un una unos unas y o de del al a en con por para como es son era eran ser se lo le les que quien cual no ni pero si entonces nos yo tú él ella ellos su sus este esta estos estas ese esa más muy ya ha han había fue fueron sin sobre entre",
 }
-_ALL = sorted({w for words in FUNCTION_WORDS.values() for w in words.split()})
+# The tokens that all links and all tags of a page count as; no word has such characters.
+LINK, TAG = "\x01", "\x02"
 _LINK = r"(?:https?:)?//[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+"
 _TAG = r"#[\p{L}\p{N}_-]+"
 # A line that is little else than a link and its caption.
@@ -35,34 +38,52 @@ def _removed(text: Column, *patterns: str) -> Column:
     return F.length(text) - F.length(rest)
 
 
+def _function_words(spark: SparkSession) -> DataFrame:
+    """(word, mask): the function words, with a bit for every language that has them; a fixed table."""
+    masks: dict[str, int] = {}
+    for i, words in enumerate(FUNCTION_WORDS.values()):
+        for w in words.split():
+            masks[w] = masks.get(w, 0) | 1 << i
+    return spark.createDataFrame(sorted(masks.items()), "word string, mask int")
+
+
 def page_curves(pages: DataFrame, key: str, text: str) -> DataFrame:
     """One row per non-null page with the features of its rank-frequency curve.
 
-    Columns: the key, n_chars, n_words, lang, slope, residual, function_share, repeat_share, link_share,
-    tag_share. Rows under one key are taken as one page.
+    Columns: the key, n_chars, n_words (tokens), lang, slope, residual, function_share, repeat_share,
+    link_share, tag_share (of the mass of all tokens). Rows under one key are taken as one page.
     """
     page = pages.where(F.col(text).isNotNull()).select(F.col(key).alias("page"), F.col(text).alias("t"))
     # One shuffle of the texts; all counting below then stays within its partition.
     page = page.repartition("page")
-    has_link, has_tag = F.col("t").rlike(r"//|www\."), F.contains("t", F.lit("#"))
+    t = F.col("t")
+    has_link, has_tag = t.rlike(r"//|www\."), F.contains(t, F.lit("#"))
+    rest = F.when(has_link, F.regexp_replace(F.regexp_replace(t, _LINK_LINE, " "), _LINK_RUN, " ")).otherwise(t)
     page = page.select(
         "page",
-        F.length("t").alias("n_chars"),
-        F.when(has_link, _removed(F.col("t"), _LINK_LINE, _LINK_RUN)).otherwise(0).alias("link_chars"),
-        F.when(has_tag, _removed(F.col("t"), _TAG)).otherwise(0).alias("tag_chars"),
-        F.when(has_link | has_tag, F.regexp_replace("t", f"{_LINK}|{_TAG}", " ")).otherwise(F.col("t")).alias("t"),
+        F.length(t).alias("n_chars"),
+        F.when(has_link, _removed(t, _LINK_LINE, _LINK_RUN)).otherwise(0).alias("link_chars"),
+        F.when(has_tag, _removed(rest, _TAG)).otherwise(0).alias("tag_chars"),
+        F.when(has_link, F.regexp_count(t, F.lit(_LINK))).otherwise(0).alias("links"),
+        F.when(has_tag, F.regexp_count(rest, F.lit(_TAG))).otherwise(0).alias("tags"),
+        F.when(has_tag, F.regexp_replace(rest, _TAG, " ")).otherwise(rest).alias("t"),
     )
-    whole = page.select("page", "n_chars", "link_chars", "tag_chars", F.explode(F.split(F.lower("t"), r"[^\p{L}\p{N}]+")).alias("word"))
+    tokens = F.concat(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"), F.array_repeat(F.lit(LINK), F.col("links")), F.array_repeat(F.lit(TAG), F.col("tags")))
+    whole = page.select("page", "n_chars", "link_chars", "tag_chars", F.explode(tokens).alias("word"))
     # The empty string that split() leaves keeps pages without words in the table.
     words = whole.groupBy("page", "n_chars", "link_chars", "tag_chars", "word").agg(F.count("*").alias("n"))
-    words = words.withColumn("is_function", F.col("word").isin(_ALL))
-    real, mass = F.col("word") != "", F.col("n") * F.length("word")
-    hits = [F.sum(F.when(F.col("word").isin(words_.split()), F.col("n")).otherwise(0)).alias(f"in_{lang}") for lang, words_ in FUNCTION_WORDS.items()]
-    classes = words.groupBy("page", "n_chars", "link_chars", "tag_chars", "n").agg(
+    words = words.join(F.broadcast(_function_words(pages.sparkSession)), "word", "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    real, of_links, of_tags, function = F.col("word") != "", F.col("word") == LINK, F.col("word") == TAG, F.col("mask") > 0
+    mass = F.when(of_links, F.col("link_chars")).when(of_tags, F.col("tag_chars")).otherwise(F.col("n") * F.length("word"))
+    hits = [F.sum(F.when(F.col("mask").bitwiseAND(1 << i) > 0, F.col("n")).otherwise(0)).alias(f"in_{lang}") for i, lang in enumerate(FUNCTION_WORDS)]
+    many = F.col("n") > 1
+    classes = words.groupBy("page", "n_chars", "n").agg(
         F.sum(real.cast("int")).alias("m"),
-        F.sum(F.when(F.col("is_function"), F.col("n")).otherwise(0)).alias("functions"),
+        F.sum(F.when(function, F.col("n")).otherwise(0)).alias("functions"),
         F.sum(mass).alias("mass"),
-        F.sum(F.when(~F.col("is_function") & (F.col("n") > 1), mass).otherwise(0)).alias("repeated"),
+        F.sum(F.when(~function & many, mass).otherwise(0)).alias("repeated"),
+        F.sum(F.when(of_links & many, mass).otherwise(0)).alias("linked"),
+        F.sum(F.when(of_tags & many, mass).otherwise(0)).alias("tagged"),
         *hits,
     )
     down = Window.partitionBy("page").orderBy(F.desc("n"))
@@ -76,17 +97,16 @@ def page_curves(pages: DataFrame, key: str, text: str) -> DataFrame:
     for g in reversed(langs):
         lang = F.when(F.sum(f"in_{g}") == best, F.lit(g)).otherwise(lang)
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
-    return ranked.groupBy("page", "n_chars", "link_chars", "tag_chars").agg(
+    return ranked.groupBy("page", "n_chars").agg(
         total.alias("n_words"),
         F.when((best >= 3) & (best >= 0.1 * total), lang).otherwise(ANY_LANGUAGE).alias("lang"),
         F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"),
         F.coalesce(F.sqrt(F.greatest(F.try_divide(F.regr_syy(y, x) - F.try_divide(F.pow(F.regr_sxy(y, x), F.lit(2)), F.regr_sxx(y, x)), F.regr_count(y, x)), F.lit(0.0))), F.lit(0.0)).alias("residual"),
         share(F.sum("functions"), total).alias("function_share"),
         share(F.sum("repeated"), F.sum("mass")).alias("repeat_share"),
-    ).select(
-        F.col("page").alias(key), "n_chars", "n_words", "lang", "slope", "residual", "function_share", "repeat_share",
-        share(F.col("link_chars"), F.col("n_chars")).alias("link_share"), share(F.col("tag_chars"), F.col("n_chars")).alias("tag_share"),
-    )
+        share(F.sum("linked"), F.sum("mass")).alias("link_share"),
+        share(F.sum("tagged"), F.sum("mass")).alias("tag_share"),
+    ).withColumnRenamed("page", key)
 
 
 _FEATURES = ("slope", "residual", "function_share", "repeat_share")
@@ -110,7 +130,8 @@ def prose_norms(curves: DataFrame, min_pages: int = 30) -> DataFrame:
     peers = rows.where(every & (enough | F.col("size_class").isNull())).select(F.col("size_class").alias("peer"), F.struct(*norms).alias("near"))
     # All pages together have no length class: they are farther than any class.
     far = F.struct(F.coalesce(F.abs(F.col("peer") - F.col("size_class")), F.lit(1 << 20)), "peer")
-    own = rows.where(every & F.col("size_class").isNotNull()).crossJoin(peers).groupBy("norm_lang", "size_class", "pages", *norms).agg(F.min_by("near", far).alias("near"))
+    # Both sides are a row per length class: some thirty at most, lengths being powers of two.
+    own = rows.where(every & F.col("size_class").isNotNull()).crossJoin(F.broadcast(peers)).groupBy("norm_lang", "size_class", "pages", *norms).agg(F.min_by("near", far).alias("near"))
     own_share = F.least(F.lit(1.0), F.col("pages") / min_pages)
     blended = own.select("norm_lang", "size_class", *((own_share * F.col(c) + (1 - own_share) * F.col("near")[c]).alias(c) for c in norms))
     return rows.where(~every & enough).select("norm_lang", "size_class", *norms).unionByName(blended)
@@ -120,13 +141,13 @@ def _size_class() -> Column:
     return F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(8)))).cast("int")
 
 
-def stuffed_pages(curves: DataFrame, share: float = 0.5, far: float = 2.5, excess: float = 0.25) -> DataFrame:
+def stuffed_pages(curves: DataFrame, far: float = 2.5, excess: float = 0.25, divergent: float = 0.4) -> DataFrame:
     """Curves with ``kind``: 'links', 'tags', 'keywords' or null.
 
-    A page is a link or tag page if links with their captions, or tags, make up more than ``share`` of it
-    together. It is a keyword page if its repeated content words exceed its peers' median share by
-    ``excess`` and slope, residual or function-word share is more than ``far`` spreads from the peers' (or
-    the excess alone is beyond any doubt, at 1.6 times ``excess``).
+    A page's divergence is the mass that its repeated content tokens (words, links, tags) take beyond the
+    median of its peers: the total variation between the two splits of mass. A page is stuffed if it diverges
+    by ``excess`` and its slope, residual or function-word share lies more than ``far`` spreads from its peers,
+    or if it diverges by ``divergent``. Its kind is that of the tokens that make up most of the repeated mass.
     """
     norms = prose_norms(curves)
     own = norms.withColumnRenamed("norm_lang", "lang")
@@ -135,12 +156,10 @@ def stuffed_pages(curves: DataFrame, share: float = 0.5, far: float = 2.5, exces
     x = curves.withColumn("size_class", _size_class()).join(own, ["lang", "size_class"], "left").join(any_, "size_class", "left")
     mid = lambda c: F.coalesce(F.col(f"{c}_mid"), F.col(f"any_{c}_mid"))
     z = lambda c: (F.col(c) - mid(c)) / F.coalesce(F.col(f"{c}_wide"), F.col(f"any_{c}_wide"))
-    over = F.coalesce(F.col("repeat_share") - mid("repeat_share"), F.lit(0.0))
+    divergence = F.coalesce(F.col("repeat_share") - mid("repeat_share"), F.lit(0.0))
     odd = F.coalesce((F.abs(z("slope")) > far) | (z("residual") > far) | (z("function_share") < -far), F.lit(False))
-    listed = F.col("link_share") + F.col("tag_share")
-    kind = (
-        F.when((listed > share) & (F.col("link_share") >= F.col("tag_share")), "links")
-        .when(listed > share, "tags")
-        .when((over > excess) & (odd | (over > 1.6 * excess)), "keywords")
-    )
-    return x.select(*curves.columns, kind.alias("kind"))
+    stuffed = (divergence > divergent) | (divergence > excess) & odd
+    words = F.col("repeat_share") - F.col("link_share") - F.col("tag_share")
+    most = F.greatest("link_share", "tag_share", words)
+    kind = F.when(F.col("link_share") == most, "links").when(F.col("tag_share") == most, "tags").otherwise("keywords")
+    return x.select(*curves.columns, F.when(stuffed, kind).alias("kind"))
