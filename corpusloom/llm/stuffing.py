@@ -148,6 +148,8 @@ def stuffed_pages(curves: DataFrame, far: float = 2.5, excess: float = 0.25, div
     median of its peers: the total variation between the two splits of mass. A page is stuffed if it diverges
     by ``excess`` and its slope, residual or function-word share lies more than ``far`` spreads from its peers,
     or if it diverges by ``divergent``. Its kind is that of the tokens that make up most of the repeated mass.
+    Links and tags must make up more than half of the page besides, as a list of them does; of keywords only
+    those that recur are counted, so their mass falls short of theirs.
     """
     norms = prose_norms(curves)
     own = norms.withColumnRenamed("norm_lang", "lang")
@@ -162,4 +164,5 @@ def stuffed_pages(curves: DataFrame, far: float = 2.5, excess: float = 0.25, div
     words = F.col("repeat_share") - F.col("link_share") - F.col("tag_share")
     most = F.greatest("link_share", "tag_share", words)
     kind = F.when(F.col("link_share") == most, "links").when(F.col("tag_share") == most, "tags").otherwise("keywords")
-    return x.select(*curves.columns, F.when(stuffed, kind).alias("kind"))
+    listed = (most == words) | (F.col("link_share") + F.col("tag_share") > 0.5)
+    return x.select(*curves.columns, F.when(stuffed & listed, kind).alias("kind"))
