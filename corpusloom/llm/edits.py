@@ -6,11 +6,15 @@ segments, too few for each to differ in two: one segment differs in at most one
 indexed as it is and with each one of its set bits wiped out, so two such segments meet by equality (as they
 are, or one as it is and the other with a bit wiped out), and pairs that met are verified on the words.
 
+A signature carries its record's size and a sketch of its words, 48 bits of which every word sets one: sets
+that differ in d words have sketches that differ in d bits at most, so what meets by chance is mostly told
+before any words are fetched.
+
 Segments made of the words of a common template would meet everywhere. Records under such a signature meet
 again, instead, by their rarest words: of any p = |x| - o + r rarest words of x (o being the least overlap
 that t demands) at least r stand in every partner, so the r-subsets of the p rarest words are signatures
-too. A subset that is still crowded is extended by one more rare word, until none is. Both ways are
-complete; none drops a pair.
+too. A subset that is still crowded is extended by one more rare word, until none is or the subset is as
+large as the overlap that makes two records similar. Both ways are complete; none drops a pair.
 
 Records with equal word sets are one class throughout; they are expanded only at the end, if asked for.
 """
@@ -31,12 +35,14 @@ from corpusloom.llm.components import components
 from corpusloom.runtime import stage
 
 #: Classes that may share a signature and still be paired at once; beyond it the signature is refined.
-CROWD = 16
+CROWD = 48
 #: A word in at least one of this many classes is frequent; there are at most this many times the mean
 #: number of words of those, whatever the size of the table.
 FREQUENT_ONE_IN = 2000
-#: Smallest and largest subsets of rare words; a crowd under the largest is paired however large it is.
-FEWEST_RARE, MOST_RARE = 2, 9
+#: Words of the smallest subsets.
+FEWEST_RARE = 2
+#: Bits of a sketch; the size of a set stands above them, as this at most.
+SKETCH, _MOST_SIZE = 48, (1 << 15) - 1
 #: Records whose signatures leave Python in one batch.
 _BATCH = 256
 _MASK = (1 << 64) - 1
@@ -145,22 +151,34 @@ def rare_subsets(words: list[str], rank: dict[str, int], kind: str, t: float) ->
 def extended_subsets(words: list[str], rank: dict[str, int], t: float, r: int, crowded: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     """The r-subsets that extend a crowded (r - 1)-subset by a less rare word.
 
-    Two partners' r rarest common words extend their r - 1 rarest ones, so no other extension is needed. A
-    set that may share only r - 1 words with a partner keeps its crowded subset besides.
+    Two partners' r rarest common words extend their r - 1 rarest ones, so no other extension is needed.
     """
     n = len(words)
     least = _least_overlap(n, t)
     ordered = _rarest_first(words, rank)
     out = []
     for sig, places in crowded:
-        if least < r:
-            out.append((sig, places))
-        if len(places) == (r - 1) * _PLACE.size:
-            last = _PLACE.unpack(places[-_PLACE.size :])[0]
-            out += [(_signed((sig + ordered[j]) & _MASK), places + _PLACE.pack(j)) for j in range(last + 1, min(n, n - least + r))]
+        last = _PLACE.unpack(places[-_PLACE.size :])[0]
+        out += [(_signed((sig + ordered[j]) & _MASK), places + _PLACE.pack(j)) for j in range(last + 1, min(n, n - least + r))]
     return out
 
 
+def sketch(words: list[str]) -> int:
+    """A set's size (up to a bound) above the bits that its words set."""
+    bits = 0
+    for w in words:
+        bits |= 1 << (_hash(w) >> 7) % SKETCH
+    return min(len(words), _MOST_SIZE) << SKETCH | bits
+
+
+def _may_be_similar(x: str, y: str, t: float) -> Column:
+    """Whether sets with these sketches can have a Jaccard similarity of ``t``."""
+    size = lambda c: F.shiftright(c, SKETCH)
+    differ = F.bit_count(F.col(x).bitwiseXOR(F.col(y)).bitwiseAND((1 << SKETCH) - 1))
+    n = size(x) + size(y)
+    return (size(x) == _MOST_SIZE) | (size(y) == _MOST_SIZE) | (differ <= n * ((1 - t) / (1 + t)) + 1e-6) & (F.least(size(x), size(y)) >= F.greatest(size(x), size(y)) * t - 1e-6)
+
+
 def _map(df: DataFrame, inputs: list[str], schema: str, types: list, make) -> DataFrame:
     """Rows made by ``make(*values)`` of each row, leaving Python in batches of bounded size."""
 
@@ -176,28 +194,32 @@ def _map(df: DataFrame, inputs: list[str], schema: str, types: list, make) -> Da
     return df.mapInArrow(run, schema)
 
 
-_SIG_ROW = [("sig", pa.int64()), ("places", pa.binary()), ("cls", pa.int64())]
+_SIG_ROW = [("sig", pa.int64()), ("places", pa.binary()), ("done", pa.bool_()), ("cls", pa.int64()), ("sk", pa.int64())]
+_SIG_SCHEMA = "sig long, places binary, done boolean, cls long, sk long"
 
 
 def _variant_rows(classes: DataFrame, t: float) -> DataFrame:
     def make(kind, cls, words):
-        return [(sig, whole, cls) for sig, whole in deletion_variants(words, kind, t)]
+        sk = sketch(words)
+        return [(sig, whole, cls, sk) for sig, whole in deletion_variants(words, kind, t)]
 
-    return _map(classes, ["kind", "cls", "words"], "sig long, whole boolean, cls long", [("sig", pa.int64()), ("whole", pa.bool_()), ("cls", pa.int64())], make)
+    return _map(classes, ["kind", "cls", "words"], "sig long, whole boolean, cls long, sk long", [("sig", pa.int64()), ("whole", pa.bool_()), ("cls", pa.int64()), ("sk", pa.int64())], make)
 
 
 def _subset_rows(classes: DataFrame, rank: dict[str, int], t: float) -> DataFrame:
     def make(kind, cls, words):
-        return [(sig, places, cls) for sig, places in rare_subsets(words, rank, kind, t)]
+        sk, done = sketch(words), _least_overlap(len(words), t) <= FEWEST_RARE
+        return [(sig, places, done, cls, sk) for sig, places in rare_subsets(words, rank, kind, t)]
 
-    return _map(classes, ["kind", "cls", "words"], "sig long, places binary, cls long", _SIG_ROW, make)
+    return _map(classes, ["kind", "cls", "words"], _SIG_SCHEMA, _SIG_ROW, make)
 
 
 def _extended_rows(classes: DataFrame, rank: dict[str, int], t: float, r: int) -> DataFrame:
     def make(cls, words, crowded):
-        return [(sig, places, cls) for sig, places in extended_subsets(words, rank, t, r, [(x["sig"], x["places"]) for x in crowded])]
+        sk, done = sketch(words), _least_overlap(len(words), t) <= r
+        return [(sig, places, done, cls, sk) for sig, places in extended_subsets(words, rank, t, r, [(x["sig"], x["places"]) for x in crowded])]
 
-    return _map(classes, ["cls", "words", "crowded"], "sig long, places binary, cls long", _SIG_ROW, make)
+    return _map(classes, ["cls", "words", "crowded"], _SIG_SCHEMA, _SIG_ROW, make)
 
 
 def frequent_words(classes: DataFrame) -> dict[str, int]:
@@ -207,41 +229,43 @@ def frequent_words(classes: DataFrame) -> dict[str, int]:
     return {x["w"]: x["n"] for x in rows}
 
 
+def _paired(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
+    """(a, b): what meets under a signature and may be similar by its sketch, smaller class first."""
+    x, y = left.select("sig", F.col("cls").alias("x"), F.col("sk").alias("sx")), right.select("sig", F.col("cls").alias("y"), F.col("sk").alias("sy"))
+    return x.join(y, "sig").where(F.col("x") != F.col("y")).where(_may_be_similar("sx", "sy", t)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_duplicate_classes(classes: DataFrame, t: float = 0.7) -> DataFrame:
-    """(a, b, similarity): pairs of classes, a < b, whose word sets have a Jaccard similarity of t or more."""
+    """(kind, a, b, similarity): pairs of classes, a < b, whose word sets have a Jaccard similarity of t or more."""
     classes = stage(classes, "word_classes")
     variants = stage(_variant_rows(classes, t), "deletion_variants")
     load = variants.groupBy("sig").agg(F.count("*").alias("n"), F.count_if("whole").alias("wholes")).where((F.col("n") > 1) & (F.col("wholes") > 0))
-    met = variants.join(load, "sig")
-    crowded = F.col("wholes") * F.col("n") > CROWD * CROWD
-    quiet = met.where(~crowded)
-    left, right = quiet.where("whole").select("sig", F.col("cls").alias("a")), quiet.select("sig", F.col("cls").alias("b"), "whole")
-    pairs = [left.join(right, "sig").where(F.col("a") != F.col("b"))]
-    crowd = stage(met.where(crowded).select("cls").distinct(), "crowd")
+    # Most variants meet none; those that do are used three times.
+    met = stage(variants.join(load, "sig").select("sig", "whole", "cls", "sk", (F.col("wholes") * F.col("n") > CROWD * CROWD).alias("crowded")), "met_variants")
+    quiet = met.where("NOT crowded")
+    pairs = [_paired(quiet.where("whole"), quiet, t)]
+    crowd = stage(met.where("crowded").select("cls").distinct(), "crowd")
     rank = frequent_words(classes)
     subsets, r = _subset_rows(classes.join(crowd, "cls", "left_semi"), rank, t), FEWEST_RARE
     while True:
         subsets = stage(subsets, "rare_subsets")
         load = subsets.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
         met = subsets.join(load, "sig")
-        quiet = met.where(F.col("n") <= CROWD) if r < MOST_RARE else met
-        x, y = quiet.select("sig", F.col("cls").alias("a")), quiet.select("sig", F.col("cls").alias("b"))
-        pairs.append(x.join(y, "sig").where("a < b"))
-        if r == MOST_RARE:
-            break
+        quiet, loud = met.where(F.col("n") <= CROWD), met.where(F.col("n") > CROWD)
+        # A set that need not share more than this subset pairs here; what it meets is similar, or nearly.
+        pairs += [_paired(quiet, quiet, t), _paired(loud.where("done"), loud, t)]
         # A class has few crowded subsets: no more than its rarest words give.
-        still = stage(met.where(F.col("n") > CROWD).groupBy("cls").agg(F.collect_set(F.struct("sig", "places")).alias("crowded")), "crowded_subsets")
+        still = stage(loud.where("NOT done").groupBy("cls").agg(F.collect_set(F.struct("sig", "places")).alias("crowded")), "crowded_subsets")
         if not still.take(1):
             break
         r += 1
         subsets = _extended_rows(classes.join(still, "cls"), rank, t, r)
-    both = [p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for p in pairs]
-    candidates = reduce(DataFrame.unionByName, both).distinct()
-    w = classes.select("kind", "cls", "words")
-    x, y = w.select(F.col("kind"), F.col("cls").alias("a"), F.col("words").alias("wa")), w.select(F.col("kind").alias("kind_b"), F.col("cls").alias("b"), F.col("words").alias("wb"))
-    shared = F.size(F.array_intersect("wa", "wb"))
+    candidates = reduce(DataFrame.unionByName, pairs).distinct()
+    w = classes.select("kind", "cls", F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
+    x, y = w.select(F.col("kind"), F.col("cls").alias("a"), F.col("h").alias("ha")), w.select(F.col("kind").alias("kind_b"), F.col("cls").alias("b"), F.col("h").alias("hb"))
+    shared = F.size(F.array_intersect("ha", "hb"))
     return (
-        candidates.join(x, "a").join(y, "b").where("kind = kind_b").select("kind", "a", "b", shared.alias("i"), (F.size("wa") + F.size("wb")).alias("n"))
+        candidates.join(x, "a").join(y, "b").where("kind = kind_b").select("kind", "a", "b", shared.alias("i"), (F.size("ha") + F.size("hb")).alias("n"))
         .where(F.col("i") >= F.lit(t) * (F.col("n") - F.col("i")) - 1e-9).select("kind", "a", "b", (F.col("i") / (F.col("n") - F.col("i"))).alias("similarity"))
     )
 

@@ -39,6 +39,12 @@ def test_same_pairs_as_brute_force(spark, words, names, monkeypatch):
     assert found(spark, rows) == brute(rows, 0.7)
 
 
+def test_a_crowd_of_similar_sets_is_paired_in_the_end(spark, monkeypatch):
+    monkeypatch.setattr(edits, "CROWD", 3)
+    rows = [(f"s{i:02d}", f"a b c d e f g h i x{i}") for i in range(12)] + [(f"t{i}", f"a b{i}") for i in range(6)] + [(f"u{i}", f"a b c{i}") for i in range(6)]
+    assert found(spark, rows, 0.8) == brute(rows, 0.8)
+
+
 def test_cases(spark):
     rows = [("a", "One two three"), ("b", "one, TWO three!"), ("c", None), ("d", ""), ("e", "..."), (None, "one two three"), ("f", "one two three four"), ("g", "one"), ("g", "one")]
     assert found(spark, rows) == {("a", "b"), ("a", "f"), ("b", "f")}
