@@ -1,23 +1,24 @@
 """Filling fixed-capacity containers: vector best fit under token, item-count and attention-cost capacities.
 
 Items are cut only if they exceed the token capacity. They are dealt into shards that each hold a like
-share of every size (so each packs as well as the whole would), and a shard is packed largest first: among
-the open containers with the least sufficient room, the one whose residual vector fits the item best (by
-weighted dot product, or by the norm of what would remain) takes it, provided every capacity holds.
+share of every size (so each packs as well as the whole would), and a shard is packed largest first: of all
+open containers with room under every capacity, the one whose residual vector fits the item best (by the
+norm of what would remain, or by weighted dot product) takes it.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Items that one packing task handles; a shard's rows are four integers each.
-SHARD_ITEMS = 100_000
+SHARD_ITEMS = 20_000
+#: Items a container may hold, of those that fill it on average; attention cost, of one that fills it.
+ITEMS, COST = 5.0, 0.9
 
 
 def cut_to_capacity(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
@@ -35,60 +36,49 @@ def cut_to_capacity(items: DataFrame, key: str, size: str, capacity: int) -> Dat
     )
 
 
-def best_fit(sizes: list[int], capacity: int, max_items: int, max_cost: float, weights: tuple[float, float, float] = (1.0, 0.15, 0.15), rule: str = "norm", looked_at: int = 24) -> list[int]:
+def best_fit(sizes: list[int], capacity: int, max_items: int, max_cost: float, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), rule: str = "norm") -> list[int]:
     """Container number of each size; ``sizes`` in descending order.
 
     A container holds at most ``capacity`` tokens, ``max_items`` items and ``max_cost`` attention cost (the
-    sum of squared sizes). Open containers are kept sorted by residual tokens; from the tightest that has
-    room, ``looked_at`` are compared on the whole residual vector (if none of those fits, the rest are
-    tried in order, so no fitting container is missed).
+    sum of squared sizes); one item alone may cost more, for it has to go somewhere. Every open container that
+    has room under all three is weighed for every item: by the weighted norm of the residual vector it would
+    be left with (``norm``), or by the weighted product of its residual vector and the item's demands (``dot``,
+    the greatest wins); of equal ones the tightest in tokens, then the oldest.
     """
-    open_: list[tuple[int, int]] = []  # (residual tokens, container), ascending
-    count: list[int] = []
-    cost: list[float] = []
+    top = np.array([capacity, max_items, max_cost], np.float64)
+    w = np.array(weights, np.float64)
+    left, number = np.empty((max(1, len(sizes)), 3)), np.empty(max(1, len(sizes)), np.int64)
+    opened = made = 0
+    least = sizes[-1] if sizes else 0
     placed = []
-    wt, wc, wa = weights
     for n in sizes:
-        a = float(n) * n
-        i = bisect.bisect_left(open_, (n, -1))
-        best, best_at, seen = math.inf, -1, 0
-        for j in range(i, len(open_)):
-            left, b = open_[j]
-            if count[b] < max_items and cost[b] + a <= max_cost:
-                rt, rc, ra = left / capacity, (max_items - count[b]) / max_items, 1 - cost[b] / max_cost
-                if rule == "dot":
-                    score = -(wt * rt * n / capacity + wc * rc / max_items + wa * ra * a / max_cost)
-                    score += rt  # among equal alignments the tighter one
-                else:
-                    score = wt * (rt - n / capacity) ** 2 + wc * (rc - 1 / max_items) ** 2 + wa * (ra - a / max_cost) ** 2
-                if score < best:
-                    best, best_at = score, j
-            seen += 1
-            if seen >= looked_at and best_at >= 0:
-                break
-            if best_at >= 0 and left == n:
-                break
-        if best_at < 0:
-            b, left = len(count), capacity
-            count.append(0)
-            cost.append(0.0)
+        need = np.array([n, 1.0, float(n) * n]) / top
+        room = left[:opened]
+        fits = np.flatnonzero((room >= need - 1e-12).all(axis=1))
+        if len(fits):
+            rest = room[fits]
+            score = ((rest - need) ** 2) @ w if rule == "norm" else -(rest * need) @ w
+            ties = fits[score <= score.min() + 1e-12]
+            at = ties[np.lexsort((number[ties], left[ties, 0]))[0]]
         else:
-            left, b = open_.pop(best_at)
-        count[b] += 1
-        cost[b] += a
-        placed.append(b)
-        if left - n > 0 and count[b] < max_items:
-            bisect.insort(open_, (left - n, b))
+            at, opened = opened, opened + 1
+            left[at], number[at], made = 1.0, made, made + 1
+        left[at] -= need
+        placed.append(int(number[at]))
+        # A container that not even the smallest item fits in is closed; the last one takes its place.
+        if (left[at] < np.array([least / capacity, 1 / max_items, float(least) * least / max_cost]) - 1e-12).any():
+            opened -= 1
+            left[at], number[at] = left[opened], number[opened]
     return placed
 
 
 def pack(parts: DataFrame, capacity: int, max_items: int | None = None, max_cost: float | None = None, rule: str = "norm", shards: int = 1) -> DataFrame:
     """(item, part, part_start, part_size, container) with a container number unique over all shards.
 
-    ``max_items`` defaults to one item per 8 tokens of capacity, ``max_cost`` to the cost of one item that
-    fills the container. ``shards`` must be at least the number of parts over ``SHARD_ITEMS``.
+    Without ``max_items`` or ``max_cost`` that capacity is as large as the tokens allow. ``shards`` must be at
+    least the number of parts over ``SHARD_ITEMS``. No parts give no containers.
     """
-    most, dearest = max_items or max(1, capacity // 8), max_cost or float(capacity) * capacity
+    most, dearest = max_items or capacity, max_cost or float(capacity) * capacity
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("item", "part"), F.lit(shards)).cast("int"))
     kind = dict(parts.dtypes)["item"]
 
@@ -101,14 +91,22 @@ def pack(parts: DataFrame, capacity: int, max_items: int | None = None, max_cost
     return dealt.groupBy("shard").applyInPandas(run, f"item {kind}, part int, part_start long, part_size long, container string")
 
 
+def limits_for(capacity: int, parts: int, tokens: int) -> tuple[int, float]:
+    """(items, attention cost) that a container of ``capacity`` may hold, for so many parts and tokens: ITEMS times
+    the parts that fill it on average, and COST of what one part that fills it costs."""
+    return max(1, math.ceil(ITEMS * capacity * max(1, parts) / max(1, tokens))), COST * float(capacity) * capacity
+
+
 def shards_for(count: int) -> int:
     """Shards so that each holds about ``SHARD_ITEMS`` parts."""
     return max(1, math.ceil(count / SHARD_ITEMS))
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
-    """Containers, tokens and fill of a packing."""
-    per = packed.groupBy("container").agg(F.sum("part_size").alias("tokens"), F.count("*").alias("items"))
+    """Containers, tokens, fill, and the most items and the most attention cost (of the capacity squared) in one."""
+    size = F.col("part_size").cast("double")
+    per = packed.groupBy("container").agg(F.sum("part_size").alias("tokens"), F.count("*").alias("items"), F.sum(size * size).alias("cost"))
     return per.agg(
-        F.count("*").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.max("items").alias("most_items"), F.coalesce(F.try_divide(F.sum("tokens").cast("double"), F.count("*") * F.lit(capacity)), F.lit(0.0)).alias("fill")
+        F.count("*").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.max("items").alias("most_items"), F.max(F.when(F.col("items") > 1, F.col("cost") / float(capacity * capacity))).alias("most_shared_cost"),
+        F.coalesce(F.try_divide(F.sum("tokens").cast("double"), F.count("*") * F.lit(capacity)), F.lit(0.0)).alias("fill"),
     )

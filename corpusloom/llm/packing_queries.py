@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.packing import cut_to_capacity, fill_report, pack, shards_for
+from corpusloom.llm.packing import cut_to_capacity, fill_report, limits_for, pack, shards_for
 from corpusloom.llm.tokens import with_tokens
 from corpusloom.runtime import stage, table
 
@@ -21,13 +21,23 @@ def _packed(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
     sizes = document_sizes(spark, d)
     # The limits are a fixed table of a few rows.
     limits = table(spark, d, "size_limits").where("unit = 'tokens'").select("limit_id", "max_size").collect()
-    totals = {m: f"sum(ceil(tokens / {m}))" for m in {r["max_size"] for r in limits}}
-    counts = sizes.where("tokens > 0").selectExpr(*(f"coalesce({x}, 0) AS n{m}" for m, x in totals.items())).first()
-    return [(r["limit_id"], r["max_size"], pack(cut_to_capacity(sizes, "doc_id", "tokens", r["max_size"]), r["max_size"], shards=shards_for(counts[f"n{r['max_size']}"]))) for r in limits]
+    # Parts and tokens per capacity, in one pass.
+    ask = {m: (f"coalesce(sum(ceil(tokens / {m})), 0) AS n{m}") for m in {r["max_size"] for r in limits}}
+    seen = sizes.where("tokens > 0").selectExpr("coalesce(sum(tokens), 0) AS tokens", *ask.values()).first()
+    out = []
+    for r in limits:
+        m, n = r["max_size"], seen[f"n{r['max_size']}"]
+        items, cost = limits_for(m, n, seen["tokens"])
+        out.append((r["limit_id"], m, pack(cut_to_capacity(sizes, "doc_id", "tokens", m), m, items, cost, shards=shards_for(n))))
+    return out
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    """Which document (or part of one over the capacity) went into which container."""
+    """Which document (or part of one over the capacity) went into which container.
+
+    A container holds at most the limit's tokens, five times the items that fill it on average, and 0.9 of the
+    attention cost of one item that fills it (unless that item is alone).
+    """
     frames = [p.select(F.lit(name).alias("limit_id"), F.lit(m).alias("capacity"), "container", F.col("item").alias("doc_id"), "part", F.col("part_start").alias("token_start"), F.col("part_size").alias("tokens")) for name, m, p in _packed(spark, d)]
     return reduce(DataFrame.unionByName, frames)
 

@@ -126,6 +126,17 @@ def test_best_fit_obeys_every_capacity():
             assert sum(inside) <= 100 and len(inside) <= 4 and (sum(n * n for n in inside) <= 4000 or len(inside) == 1)
 
 
+def test_every_capacity_changes_the_packing():
+    rng = random.Random(5)
+    sizes = sorted((min(2048, max(1, round(rng.lognormvariate(5.5, 1.2)))) for _ in range(3000)), reverse=True)
+    items, cost = packing.limits_for(2048, len(sizes), sum(sizes))
+    for rule in ("norm", "dot"):
+        full = packing.best_fit(sizes, 2048, items, cost, rule=rule)
+        assert full != packing.best_fit(sizes, 2048, len(sizes), cost, rule=rule)
+        assert full != packing.best_fit(sizes, 2048, items, 2048.0**2, rule=rule)
+        assert sum(sizes) / 2048 / (max(full) + 1) > 0.98
+
+
 def test_permutation_is_one():
     for size in (1, 2, 3, 10, 1000, 1025):
         x = mixing.permuted(np.arange(size), np.full(size, size), np.full(size, -77))
