@@ -2,10 +2,11 @@
 
 Each source's documents are laid end to end in pseudorandom order and ruled into blocks of a fixed number of
 tokens. The largest total at which every source that has text meets its target within its cap fixes the
-blocks each source supplies. Every output shard draws its source counts from a multinomial conditioned on
-those totals, so the shares hold exactly over all shards and vary within them as free draws would. A slot's
-ordinal within its source goes through a keyed permutation of that source's block numbers, one permutation
-per epoch, and slots are joined to blocks by number.
+blocks each source supplies. The source counts of every output shard are a multinomial draw conditioned on
+those totals, so the shares hold exactly over all shards and vary within them as free draws would; they are
+drawn slot by slot, by a keyed permutation of all slots, in the tasks. A slot's ordinal within its source goes
+through a keyed permutation of that source's block numbers, one per epoch, and slots are joined to blocks by
+number.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents whose running token sum one window task computes, and the most shards the driver draws for.
-DOCS_PER_BUCKET, MOST_SHARDS = 50_000, 10_000
+#: Documents whose running token sum one window task computes, and slots that one task draws.
+DOCS_PER_BUCKET, SLOTS_PER_TASK = 50_000, 1 << 18
 
 
 def normal_source(source: Column) -> Column:
@@ -85,54 +86,54 @@ def block_plan(available: dict[str, int], targets: dict[str, tuple[float, int]],
     return plan
 
 
-def shard_counts(slots: dict[str, int], shards: int, seed: int) -> pd.DataFrame:
-    """Rows (shard, source, n, first): multinomial draws per shard, conditioned on the sources' totals."""
-    rng = np.random.default_rng(seed)
-    names = sorted(slots)
-    left = np.array([slots[s] for s in names], dtype=np.int64)
-    used = np.zeros_like(left)
-    rows = []
-    for k in range(shards):
-        take = int(round(left.sum() / (shards - k)))
-        n = left.copy() if k == shards - 1 else _draw(rng, left, take)
-        rows += [(k, s, int(c), int(u)) for s, c, u in zip(names, n, used) if c]
-        left, used = left - n, used + n
-    return pd.DataFrame(rows, columns=["shard", "source", "n", "first"])
+def _mixed_key(*parts: np.ndarray | int) -> np.ndarray:
+    key = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for x in parts:
+            key = (np.asarray(x).astype(np.int64).view(np.uint64) + key) * np.uint64(0xBF58476D1CE4E5B9)
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            key = key ^ (key >> np.uint64(32))
+    return key.view(np.int64)
+
+
+def drawn_slots(at: np.ndarray, plan: dict[str, tuple[int, int]], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source, epoch, index) of the slots at ``at``, out of all slots of ``plan``; source as a place in sorted names.
 
+    A keyed permutation of all slots is a draw without replacement from the sources' totals: the counts of any
+    shard are those of a multinomial conditioned on the totals. A slot's ordinal within its source goes
+    through a permutation of that source's blocks, another one in every epoch.
+    """
+    import xxhash
 
-def _draw(rng: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
-    """A draw without replacement; beyond numpy's limits the multinomial, kept within what is left."""
-    if left.sum() < 10**9:
-        return rng.multivariate_hypergeometric(left, take)
-    n = np.minimum(rng.multinomial(take, left / left.sum()), left)
-    while n.sum() < take:
-        n = np.minimum(n + rng.multinomial(take - n.sum(), (left - n) / (left - n).sum()), left)
-    return n
+    names = sorted(plan)
+    blocks, slots = (np.array([plan[s][i] for s in names], np.int64) for i in (0, 1))
+    ends = np.cumsum(slots)
+    drawn = permuted(at, np.full(len(at), ends[-1]), np.full(len(at), _mixed_key(seed)))
+    source = np.searchsorted(ends, drawn, side="right")
+    ordinal = drawn - (ends - slots)[source]
+    own = np.array([xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), seed & 0xFFFF) for s in names], np.uint64).view(np.int64)
+    epoch = ordinal // blocks[source]
+    return source, epoch, permuted(ordinal % blocks[source], blocks[source], _mixed_key(own[source], epoch))
 
 
 def mixture(blocks: DataFrame, plan: dict[str, tuple[int, int]], slots_per_shard: int = 4096, seed: int = 7) -> DataFrame:
-    """(shard, slot, source, epoch, index, doc, token_start, token_end): the mixed stream by fragment."""
+    """(shard, slot, source, epoch, index, doc, token_start, token_end): the mixed stream by fragment.
+
+    ``plan`` has a row per source; an empty one gives no rows. Every task draws its own slots, of any number.
+    """
     spark = blocks.sparkSession
+    plan = {s: x for s, x in plan.items() if x[1] > 0}
     total = sum(n for _, n in plan.values())
-    shards = max(1, min(MOST_SHARDS, -(-total // slots_per_shard)))
-    counts = shard_counts({s: n for s, (_, n) in plan.items()}, shards, seed) if plan else pd.DataFrame([], columns=["shard", "source", "n", "first"])
-    counts = counts.astype({"n": "int64", "first": "int64", "shard": "int64"})
-    counts = counts.merge(pd.DataFrame([(s, b) for s, (b, _) in plan.items()], columns=["source", "blocks"]), on="source", how="inner")
-    counts["before"] = counts.groupby("shard")["n"].cumsum() - counts["n"]
-    counts["size"] = counts.groupby("shard")["n"].transform("sum")
-    schema = "shard long, source string, n long, first long, blocks long, before long, size long"
-    rows = spark.createDataFrame(counts.astype({c: "int64" for c in counts.columns if c != "source"}), schema) if len(counts) else spark.createDataFrame([], schema)
-    slots = rows.repartition("shard").select("shard", "source", "blocks", "first", "before", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    slots = slots.select("shard", "source", "blocks", "size", (F.col("before") + F.col("i")).alias("at"), F.floor((F.col("first") + F.col("i")) / F.col("blocks")).alias("epoch"), F.pmod(F.col("first") + F.col("i"), F.col("blocks")).alias("k"))
-    slots = slots.withColumn("source_key", F.xxhash64("source", "epoch", F.lit(seed))).withColumn("shard_key", F.xxhash64("shard", F.lit(seed)))
+    names = np.array(sorted(plan), dtype=object)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             if len(x):
-                x["index"] = permuted(x["k"].to_numpy(), x["blocks"].to_numpy(), x["source_key"].to_numpy())
-                x["slot"] = permuted(x["at"].to_numpy(), x["size"].to_numpy(), x["shard_key"].to_numpy())
-                yield x[["shard", "slot", "source", "epoch", "index"]]
+                at = x["id"].to_numpy()
+                source, epoch, index = drawn_slots(at, plan, seed)
+                yield pd.DataFrame({"shard": at // slots_per_shard, "slot": at % slots_per_shard, "source": names[source], "epoch": epoch, "index": index})
 
+    slots = spark.range(0, total, 1, max(1, -(-total // SLOTS_PER_TASK)))
     placed = slots.mapInPandas(place, "shard long, slot long, source string, epoch long, index long")
-    # The planner takes the few plan rows for the size of what they explode into; never broadcast the slots.
+    # The planner knows the numbers of the slots, not what they become; never broadcast them.
     return placed.join(blocks.hint("merge"), ["source", "index"]).select("shard", "slot", "source", "epoch", "index", "doc", "token_start", "token_end")

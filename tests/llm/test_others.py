@@ -143,6 +143,17 @@ def test_permutation_is_one():
         assert sorted(x) == list(range(size))
 
 
+def test_shards_draw_sources_at_random_and_use_every_block_alike():
+    plan = {"a": (40, 400), "b": (700, 700), "c": (3, 5)}
+    source, epoch, index = mixing.drawn_slots(np.arange(1105), plan, 7)
+    assert np.bincount(source).tolist() == [400, 700, 5]
+    assert all(sorted(index[(source == 0) & (epoch == e)]) == list(range(40)) for e in range(10))
+    share = [(source[i : i + 100] == 0).mean() for i in range(0, 1100, 100)]
+    assert 0.2 < min(share) < max(share) < 0.55
+    far = mixing.drawn_slots(np.array([3 * 10**11]), {"a": (10**9, 4 * 10**11)}, 7)
+    assert 0 <= far[1][0] < 400 and 0 <= far[2][0] < 10**9
+
+
 def test_mixture(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice(["a", "b", "c"]), rng.randrange(0, 90)) for i in range(300)] + [(900, "a", None), (901, None, 50)]
