@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 #: Boundary strengths; a higher one is kept longer.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, SPACE, NONE = 5, 4, 3, 2, 1, 0
 
-# A boundary stands after the matched run.
+# A boundary stands after the matched run. Runs of marks are entered at their beginning only and given up whole,
+# so that leader dots take time in proportion to their length.
 _BOUNDARY = re.compile(
     r"(?P<paragraph>(?:\r\n|[\n\r\u2028\u2029\x85])[^\S\n\r]*(?:\r\n|[\n\r\u2028\u2029\x85])\s*)"
     r"|(?P<line>(?:\r\n|[\n\r\u2028\u2029\x85\x0b\x0c])[^\S\n\r]*)"
-    r"|(?P<sentence>(?:[.!?…]+[\"'”’»)\]]*\s+)|(?:[。！？｡]+[」』）”]*\s*))"
+    r"|(?P<sentence>(?:(?<![.!?…])[.!?…]++[\"'”’»)\]]*+\s+)|(?:[。！？｡]+[」』）”]*\s*))"
     r"|(?P<clause>(?:[;:,]\s+)|(?:[、，；：]\s*))"
     r"|(?P<space>\s+)"
 )

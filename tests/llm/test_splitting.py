@@ -31,6 +31,15 @@ def test_no_boundary_is_cut_hard():
     assert len(check("x" * 100, 30, 10)) == 5
 
 
+def test_leader_dots_take_time_in_proportion():
+    import time
+
+    text = "Chapter " + "." * 400_000 + '"' * 100_000 + " end. Next."
+    began = time.perf_counter()
+    check(text, 1000, 50)
+    assert time.perf_counter() - began < 10
+
+
 def test_combining_marks_stay_together():
     text = "é" * 50
     assert all(b % 2 == 0 for _, b in cut(text, 31, 0))
