@@ -100,6 +100,19 @@ def test_neighbours(spark, monkeypatch, block):
     assert neighbours.nearest(neighbours.usable_vectors(df.limit(0), identity)).count() == 0
 
 
+def test_recall_where_less_than_the_bounds_is_honoured(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a", i, x.tolist()) for i, x in enumerate(rng.normal(size=(1200, 64)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "index_id string, vec_id long, v array<float>")
+    want = brute_neighbours(rows, 10)
+    for bound, least in ((1.0, 1.0), (0.25, 0.97), (0.0, 0.9)):
+        got = {}
+        for r in neighbours.nearest(df, bound=bound, block=300).collect():
+            got.setdefault((r.index_id, r.vec_id), set()).add(r.other_id)
+        recall = sum(len(got[key] & set(ids)) for key, ids in want.items()) / (10 * len(want))
+        assert recall >= least, (bound, recall)
+
+
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([1, 5, 40, 300, 511, 512, 1300])) for i in range(400)] + [(900, None), (901, 0), (902, -4)]
