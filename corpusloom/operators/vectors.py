@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import stage
+
 #: Rows of a corpus block, and of a query block; a block product is 8 MB.
 CORPUS_BLOCK, QUERY_BLOCK = 4096, 256
 
@@ -21,9 +23,13 @@ def _block(name: str):
     return run
 
 
+def _per_space(rows: DataFrame, size: int) -> DataFrame:
+    """(space, blocks): how many blocks of ``size`` rows each space has; a row per space, as many as indexes."""
+    return rows.groupBy("space").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+
+
 def _blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
-    n = rows.groupBy("space").agg(F.count("*").alias("n"))
-    dealt = rows.join(n, "space").withColumn(name, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / size)).cast("int"))
+    dealt = rows.join(F.broadcast(_per_space(rows, size)), "space").withColumn(name, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     return dealt.groupBy("space", name).applyInPandas(_block(name), f"space string, {name} int, ids array<string>, m binary")
 
 
@@ -31,8 +37,9 @@ def nearest_of(queries: DataFrame, corpus: DataFrame, k: int = 5, digits: int =
     """(query_id, rank, id, score): the k largest inner products, in double precision, rounded.
 
     Both frames have space (index; only equal ones meet), id (string) and v (array of numbers, all of one
-    length within a space). Blocks of queries meet blocks of the corpus and keep k candidates each; ties go
-    to the smaller id. k below 1 gives nothing, k beyond the corpus all of it.
+    length within a space). The blocks of queries, the smaller side, are sent to every block of the corpus and
+    joined by its number, so every corpus block is a unit of work of its own; a pair of blocks keeps k
+    candidates a query. Ties go to the smaller id. k below 1 gives nothing, k beyond the corpus all of it.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,20 +56,35 @@ def nearest_of(queries: DataFrame, corpus: DataFrame, k: int = 5, digits: int =
 
     k = max(0, k)
     q = _blocks(queries, "qb", QUERY_BLOCK).select("space", F.col("ids").alias("qids"), F.col("m").alias("qm"))
+    q = q.join(F.broadcast(_per_space(corpus, CORPUS_BLOCK)), "space").select("space", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cb"), "qids", "qm")
     c = _blocks(corpus, "cb", CORPUS_BLOCK)
-    found = c.join(q, "space").mapInPandas(run, "query_id string, id string, score double")
+    found = c.join(q, ["space", "cb"]).mapInPandas(run, "query_id string, id string, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def corpus_fingerprint(rows: DataFrame, key: str, text: str, buckets: int = 256) -> DataFrame:
-    """One row (rows, fingerprint): a two-level hash of all (key, text), whatever their order and partitioning.
+def corpus_fingerprint(rows: DataFrame, key: str, text: str, group: int = 1024) -> DataFrame:
+    """One row (rows, fingerprint): a hash tree over all (key, text), whatever their order and partitioning.
 
-    Each bucket of keys hashes its sorted row hashes, and the fingerprint hashes the buckets' hashes in order.
+    A leaf is the hash of key and text (null counts as empty) with the number of rows that have it. Leaves are
+    dealt by their hash to nodes of about ``group``, a node hashes its sorted leaves, and ``group`` neighbouring
+    nodes at a time are hashed together until one is left, so no group grows with the corpus. No rows give the
+    hash of nothing.
     """
-    each = rows.select(F.sha2(F.to_json(F.array(F.col(key).cast("string"), F.coalesce(F.col(text), F.lit("")))), 256).alias("h"), F.pmod(F.crc32(F.col(key).cast("string")), F.lit(buckets)).alias("bucket"))
-    per = each.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+    hex_of = lambda c: F.sha2(F.coalesce(F.col(c).cast("string"), F.lit("")), 256)
+    leaves = rows.select(F.sha2(F.concat(hex_of(key), hex_of(text)), 256).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    leaves = stage(leaves, "leaves")
+    nodes = max(1, -(-leaves.count() // group))
+    dealt = F.pmod(F.conv(F.left("h", F.lit(8)), 16, 10).cast("long"), F.lit(nodes))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("h", "n"))), lambda x: F.concat(x["h"], F.lit(":"), x["n"].cast("string")))
+    tree = leaves.groupBy(dealt.alias("node")).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(joined, ","), 256).alias("h"))
+    while True:
+        below = F.transform(F.array_sort(F.collect_list(F.struct("node", "h"))), lambda x: x["h"])
+        nodes = -(-nodes // group)
+        sums = (F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sha2(F.array_join(below, ","), 256).alias("h"))
+        if nodes == 1:
+            return tree.agg(*sums).withColumnRenamed("h", "fingerprint")
+        tree = tree.groupBy(F.floor(F.col("node") / group).alias("node")).agg(*sums)
 
 
 # The signals of an index identity, in the order mismatches are named.

@@ -82,8 +82,8 @@ def q_chunk_reconstruction(spark: SparkSession, d: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     dims = table(spark, d, "index_identity").select("index_id", "dimension")
-    v = table(spark, d, "index_vectors").select("index_id", "vec_id", "vector").where("vector IS NOT NULL").dropDuplicates(["index_id", "vec_id"])
-    return v.join(dims, "index_id").where((F.size("vector") == F.col("dimension")) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    v = table(spark, d, "index_vectors").select("index_id", "vec_id", "vector").where("vector IS NOT NULL").groupBy("index_id", "vec_id").agg(F.min("vector").alias("vector"))
+    return v.join(F.broadcast(dims), "index_id").where((F.size("vector") == F.col("dimension")) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
 
 def q_vector_top5(spark: SparkSession, d: str) -> DataFrame:
@@ -97,13 +97,6 @@ def _embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_embedding_top5(spark: SparkSession, d: str) -> DataFrame:
-    """The test table ``embeddings``: ids below 20 query the others, as its SQL has it."""
-    e = _embeddings(spark, d)
-    small = F.col("id").cast("long") < 20
-    return vectors.nearest_of(e.where(small), e.where(~small), K).select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("id").cast("long").alias("vec_id"), "score")
-
-
-def q_embedding_all_top5(spark: SparkSession, d: str) -> DataFrame:
     """Every embedding whose id is divisible by 20 against the whole table, by inner product."""
     e = _embeddings(spark, d)
     return vectors.nearest_of(e.where(F.col("id").cast("long") % 20 == 0), e, K).select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("id").cast("long").alias("vec_id"), "score")
@@ -121,11 +114,18 @@ def q_index_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_vector_identity(spark: SparkSession, d: str) -> DataFrame:
-    """Declared dimension and vector count of each index against what its vectors have."""
-    declared = table(spark, d, "index_identity").select("index_id", "dimension", "metric")
-    rows = table(spark, d, "index_vectors").where("vector IS NOT NULL").dropDuplicates(["index_id", "vec_id"])
-    seen = rows.groupBy("index_id").agg(F.max(F.size("vector")).alias("dimension"))
-    return vectors.identity_mismatches(declared, seen, "index_id").select("index_id", F.array_join("mismatches", ",").alias("mismatches"))
+    """What each index declares against what its vectors have.
+
+    The tables declare the dimension only; it must be the length of every vector. The number of vectors and their
+    chunks are held against the corpus: ids must be distinct and every vector's chunk must be there.
+    """
+    rows = table(spark, d, "index_vectors").where("vector IS NOT NULL").select("index_id", "vec_id", "chunk_id", F.size("vector").alias("n")).distinct()
+    there = inputs.corpus(spark, d).select(F.col("id").alias("chunk_id"), F.lit(1).alias("there"))
+    seen = rows.join(there, "chunk_id", "left").groupBy("index_id").agg(
+        F.when(F.min("n") == F.max("n"), F.min("n")).alias("dimension"), F.count("*").alias("vector_count"), F.count("there").alias("chunk_ids"), F.count_distinct("vec_id").alias("ids")
+    )
+    declared = table(spark, d, "index_identity").select("index_id", "dimension").join(seen.select("index_id", F.col("ids").alias("vector_count"), F.col("vector_count").alias("chunk_ids")), "index_id", "left")
+    return vectors.identity_mismatches(declared, seen.drop("ids"), "index_id").select("index_id", F.array_join("mismatches", ",").alias("mismatches"))
 
 
 def q_corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         q_tokenize_tf, q_doc_freq, q_corpus_stats, q_bm25_top5, q_bm25_matched_terms, q_bm25_candidates, q_normalize_text, q_chunks, q_chunks_reconstruct, q_document_ids, q_chunk_ids, q_chunk_contiguity, q_chunk_overlap_check,
-        q_chunk_reconstruction, q_vector_top5, q_embedding_top5, q_embedding_all_top5, q_placeholder_embedding, q_index_coverage, q_vector_identity, q_corpus_fingerprint, q_semantic_top5, q_rrf_candidates, q_rrf_top5, q_route_agreement,
+        q_chunk_reconstruction, q_vector_top5, q_embedding_top5, q_placeholder_embedding, q_index_coverage, q_vector_identity, q_corpus_fingerprint, q_semantic_top5, q_rrf_candidates, q_rrf_top5, q_route_agreement,
     )
 }
 
@@ -195,6 +195,22 @@ cand AS (SELECT query_id, id, max(s) AS semantic_rank, max(l) AS lexical_rank FR
 exact AS (SELECT *, coalesce(1.0 / (60 + semantic_rank), 0) + coalesce(1.0 / (60 + lexical_rank), 0) AS x FROM cand),
 fusedall AS (SELECT e.query_id, e.id, CAST(e.semantic_rank AS INT) AS semantic_rank, CAST(e.lexical_rank AS INT) AS lexical_rank, round(x, 6) AS score,
   CAST(row_number() OVER (PARTITION BY e.query_id ORDER BY x DESC, c.canon, c.source, c.chunk_index, coalesce(semantic_rank, 1073741824 + lexical_rank), e.id) AS INT) AS rank FROM exact e LEFT JOIN corpus c ON c.id = e.id)"""
+_SP = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_GAP = "\\n[ \\t]*\\n[ \\t\\n]*"
+# Paragraphs with their offsets, and pieces of those by recursion: as many steps as the longest has pieces.
+_CHUNKED = f"""WITH RECURSIVE
+par AS (SELECT document_id, regexp_split_to_array(text, '{_GAP}') AS p, regexp_extract_all(text, '{_GAP}') AS g FROM documents WHERE text IS NOT NULL),
+one AS (SELECT document_id, i, p[i] AS t, coalesce(list_sum(list_transform(p[1:i-1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(g[1:i-1], lambda x: length(x))), 0) AS pos FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM par)),
+bare AS (SELECT document_id, CAST(pos + length(t) - length(regexp_replace(t, '^{_SP}+', '')) AS BIGINT) AS pos, regexp_replace(regexp_replace(t, '^{_SP}+', ''), '{_SP}+$', '') AS rest FROM one),
+cut AS (
+  SELECT document_id, pos, rest FROM bare WHERE rest <> ''
+  UNION ALL
+  SELECT document_id, pos + length(rest) - length(tail), tail
+  FROM (SELECT *, regexp_replace(substring(rest, CASE WHEN space > 0 THEN space ELSE {chunking.LIMIT} END + 1), '^{_SP}+', '') AS tail
+    FROM (SELECT *, length(regexp_extract(left(rest, {chunking.LIMIT}), '^(.*) ', 1, 's')) AS space FROM cut WHERE length(rest) > {chunking.LIMIT}))
+  WHERE tail <> ''),
+piece AS (SELECT document_id, pos, CASE WHEN length(rest) <= {chunking.LIMIT} THEN rest WHEN space > 0 THEN left(rest, space) ELSE left(rest, {chunking.LIMIT}) END AS text FROM (SELECT *, length(regexp_extract(left(rest, {chunking.LIMIT}), '^(.*) ', 1, 's')) AS space FROM cut)),
+chunked AS (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1 AS INT) AS chunk_index, CAST(pos AS INT) AS character_start, CAST(pos + length(text) AS INT) AS character_end, text FROM piece)"""
 _NEAR = "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM ({0}) QUALIFY rank <= 5"
 _IN_FINITE = "len(list_filter(v.vector, lambda y: y IS NOT NULL AND isfinite(y))) = dimension AND len(v.vector) = dimension"
 
@@ -211,15 +227,28 @@ ORACLE = {
     "q_chunk_overlap_check": _C + " SELECT document_id, id, character_end, next_start FROM (SELECT *, lead(character_start) OVER (PARTITION BY document_id ORDER BY chunk_index, id) AS next_start FROM corpus WHERE chunk_index IS NOT NULL) WHERE character_end > next_start",
     "q_chunk_reconstruction": _C + """ SELECT c.document_id, c.id, CASE WHEN d.text IS NULL THEN 'no document' WHEN c.character_start IS NULL OR c.character_end IS NULL THEN 'incomplete' ELSE 'differs' END AS reason
 FROM corpus c LEFT JOIN (SELECT document_id, text FROM documents WHERE text IS NOT NULL) d USING (document_id) WHERE NOT coalesce(CASE WHEN c.character_end <= c.character_start THEN '' ELSE substring(d.text, c.character_start + 1, c.character_end - c.character_start) END = c.text, false)""",
-    "q_vector_top5": f"WITH v AS (SELECT DISTINCT ON (index_id, vec_id) v.index_id, vec_id, CAST(vector AS DOUBLE[]) AS x FROM index_vectors v JOIN index_identity i ON i.index_id = v.index_id WHERE vector IS NOT NULL AND {_IN_FINITE}) "
+    "q_vector_top5": f"WITH v AS (SELECT v.index_id, vec_id, CAST(vector AS DOUBLE[]) AS x FROM (SELECT index_id, vec_id, min(vector) AS vector FROM index_vectors WHERE vector IS NOT NULL GROUP BY ALL) v JOIN index_identity i ON i.index_id = v.index_id WHERE {_IN_FINITE}) "
     + _NEAR.format("SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(a.x, b.x), 6) AS score FROM v a JOIN v b ON a.index_id = b.index_id WHERE a.vec_id % 20 = 0"),
-    "q_embedding_top5": _NEAR.format("SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < 20 AND b.vec_id >= 20"),
-    "q_embedding_all_top5": _NEAR.format("SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0"),
+    "q_embedding_top5": _NEAR.format("SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0"),
     "q_placeholder_embedding": _C + f", e AS (SELECT id, {_PLACE.format('text')} AS v FROM corpus) SELECT id, CAST(unnest(range(16)) AS INT) AS component, CAST(unnest(v) AS DOUBLE) AS value FROM e",
     "q_index_coverage": _C + """, ix AS (SELECT DISTINCT chunk_id AS id FROM index_vectors WHERE vector IS NOT NULL)
 SELECT 'not indexed' AS kind, count(*) AS n FROM corpus WHERE id NOT IN (SELECT id FROM ix WHERE id IS NOT NULL) UNION ALL SELECT 'not in corpus', count(*) FROM ix WHERE NOT EXISTS (SELECT 1 FROM corpus c WHERE c.id = ix.id)""",
-    "q_vector_identity": """SELECT coalesce(i.index_id, v.index_id) AS index_id, CASE WHEN i.dimension IS NOT DISTINCT FROM v.dimension THEN '' ELSE 'dimension' END AS mismatches
-FROM index_identity i FULL OUTER JOIN (SELECT index_id, CAST(max(len(vector)) AS INT) AS dimension FROM (SELECT DISTINCT ON (index_id, vec_id) * FROM index_vectors WHERE vector IS NOT NULL) GROUP BY 1) v ON i.index_id = v.index_id""",
+    "q_vector_identity": _C + """,
+vr AS (SELECT DISTINCT index_id, vec_id, chunk_id, CAST(len(vector) AS INT) AS n FROM index_vectors WHERE vector IS NOT NULL),
+seen AS (SELECT index_id, CASE WHEN min(n) = max(n) THEN min(n) END AS dimension, count(*) AS vectors, count(c.id) AS chunks, count(DISTINCT vec_id) AS ids FROM vr LEFT JOIN corpus c ON c.id = vr.chunk_id GROUP BY 1)
+SELECT coalesce(i.index_id, s.index_id) AS index_id, concat_ws(',', CASE WHEN i.dimension IS DISTINCT FROM s.dimension THEN 'dimension' END,
+  CASE WHEN CASE WHEN i.index_id IS NOT NULL THEN s.ids END IS DISTINCT FROM s.vectors THEN 'vector_count' END, CASE WHEN CASE WHEN i.index_id IS NOT NULL THEN s.vectors END IS DISTINCT FROM s.chunks THEN 'chunk_ids' END) AS mismatches
+FROM index_identity i FULL JOIN seen s ON i.index_id = s.index_id""",
+    "q_chunks": _CHUNKED + " SELECT left(sha256(document_id || ':' || chunk_index), 16) AS id, document_id, chunk_index, character_start, character_end, sha256(text) AS h FROM chunked",
+    "q_chunks_reconstruct": _CHUNKED + f""" SELECT count(*) AS chunks, count(*) FILTER (length(c.text) > {chunking.LIMIT}) AS too_long, count(*) FILTER (length(c.text) <> character_end - character_start) AS bad_length,
+count(*) FILTER (c.text IS DISTINCT FROM substring(d.text, character_start + 1, character_end - character_start)) AS differing FROM chunked c JOIN documents d USING (document_id)""",
+    "q_normalize_text": r"""SELECT document_id, length(n) AS n, sha256(n) AS h FROM (
+SELECT document_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^' || sp || '+', ''), sp || '+$', '') AS n
+FROM documents, (SELECT '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]' AS sp) WHERE text IS NOT NULL)""",
+    "q_corpus_fingerprint": _C + """,
+leaf AS (SELECT sha256(sha256(id) || sha256(text)) AS h, count(*) AS n FROM corpus GROUP BY 1), size AS (SELECT greatest(1, CAST(ceil(count(*) / 1024.0) AS BIGINT)) AS nodes FROM leaf),
+node AS (SELECT CAST('0x' || left(h, 8) AS BIGINT) % nodes AS node, sum(n) AS n, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS h FROM leaf, size GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, ',' ORDER BY node)) AS fingerprint FROM node""",
     "q_semantic_top5": BM25 + SEMANTIC + " SELECT query_id, rank, id, score FROM sem",
     "q_rrf_candidates": BM25 + FUSED + " SELECT query_id, id, semantic_rank, lexical_rank, score, rank FROM fusedall",
     "q_rrf_top5": BM25 + FUSED + " SELECT query_id, rank, id, score FROM fusedall WHERE rank <= 5",
