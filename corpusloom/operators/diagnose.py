@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 # The rules in document order (id, symptom, stages, component, metric, what to look at).
 RULES = (
     ("ALTM-INFER-1", "Hallucinated fact not in any source document", ("Infer",), "Generator", "Faithfulness, Hallucination Rate", "Check assembled prompt for the claim; if absent, it's fabricated at Infer"),
-    ("ALTM-KNOWLEDGE-1", "Answer cites the wrong document version", ("Knowledge",), "Knowledge Source", "Freshness check", "Compare corpus hash/timestamp against JobOps source"),
+    ("ALTM-KNOWLEDGE-1", "Answer cites the wrong document version", ("Knowledge",), "Knowledge Source", "Freshness check", "Compare corpus hash/timestamp against the source of record"),
     ("ALTM-RETRIEVE-1", "Right topic, wrong specific document retrieved", ("Retrieve",), "Retriever", "Context Precision", "Inspect ranked candidates for the query"),
     ("ALTM-RETRIEVE-2", "Missing answer despite evidence existing in the corpus", ("Retrieve", "Assemble"), "Retriever / Context Builder", "Context Recall", "Check whether evidence was retrieved at all vs. retrieved-but-dropped"),
     ("ALTM-INDEX-1", "Contradictory answer across repeated runs on the same input", ("Index", "Infer"), "Indexer / Generator", "Chunk coverage; determinism check", "Confirm indexing is stable before suspecting generation non-determinism"),
     ("ALTM-KNOWLEDGE-2", "Stale answer despite a recent source update", ("Knowledge",), "Knowledge Source", "Freshness check", "Verify re-indexing was triggered on the source change"),
     ("ALTM-RETRIEVE-3", "Low recall on a known-answerable query", ("Retrieve",), "Retriever", "Context Recall", "Check ranking cutoff (top-k) and query formulation"),
     ("ALTM-RETRIEVE-4", "Low precision on a known-answerable query", ("Retrieve",), "Retriever", "Context Precision", "Check for near-duplicate or loosely-related chunks crowding results"),
-    ("ALTM-INFER-2", "False confidence on an unanswerable question", ("Infer", "Final Answer"), "Generator / Evaluation Engine", "Hallucination Rate; abstention check", 'Confirm the "No Answer" failure-taxonomy category (`docs/roadmap.md`, Section 2.3) is represented in the Golden Dataset'),
+    ("ALTM-INFER-2", "False confidence on an unanswerable question", ("Infer", "Final Answer"), "Generator / Evaluation Engine", "Hallucination Rate; abstention check", 'Confirm the "No Answer" failure-taxonomy category is represented in the Golden Dataset'),
     ("ALTM-ASSEMBLE-1", "Correct evidence retrieved, answer still wrong", ("Assemble", "Infer"), "Context Builder / Generator", "Prompt assembly tests; Faithfulness", "Diff the assembled prompt against the retrieved chunk set before suspecting the model"),
     ("ALTM-POST-PROCESS-1", "Answer correct pre-guardrail, wrong as delivered", ("Post-Process",), "Generator (guardrail layer)", "Guardrail/output-contract tests", "Compare pre- and post-processing output directly"),
     ("ALTM-EVALUATE-1", "Regression after a prompt or corpus change, previously passing", ("Evaluate",), "Evaluation Engine", "Promptfoo diff", "Re-run the regression suite against the last known-good baseline"),
@@ -44,7 +44,11 @@ def confidence(rule: Column, recall: Column, expected: Column) -> Column:
 
 
 def diagnoses(records: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One diagnosis per question with a symptom, with the rule's own cells and the evidence it rests on."""
+    """One diagnosis per question with a symptom, with the rule's own cells and the evidence it rests on.
+
+    Records and metrics must be of the same questions: ``gates.unpaired`` gives those that are not, which this join
+    would lose.
+    """
     x = records.join(metrics.select("id", "precision", "recall"), "id")
     rule = selected_rule(F.col("recall"), F.col("precision"), F.col("expected_document_ids"), F.col("observed_document_ids"))
     x = x.withColumn("rule_id", rule).where("rule_id IS NOT NULL")

@@ -108,18 +108,21 @@ def claim_aggregate(per: DataFrame, metric: str, count: str) -> DataFrame:
     ).select(F.lit(metric).alias("metric"), "*")
 
 
-def relevancy(cases: DataFrame) -> DataFrame:
-    """(id, direct, complete, only, relevant): three judgements of question and answer; null for abstentions.
-
-    The stand-in judge: direct if a third of the question's tokens recur, complete if the answer has five
-    tokens or a figure, only if it is not over twelve times the question's length.
-    """
-    q, a = F.col("question"), F.col("answer_text")
+def relevancy_judge(q: Column, a: Column) -> Column:
+    """The stand-in: direct if a third of the question's tokens recur, complete if the answer has five tokens or a
+    figure, only if it is not over twelve times the question's length. A model's three lines go through
+    ``parsed_relevancy`` to the same struct."""
     direct = F.when(coverage(q, a) >= 0.3, "DIRECT").otherwise("NOT_DIRECT")
     complete = F.when((F.size(tokens(a)) >= 5) | a.rlike("[0-9]"), "COMPLETE").otherwise("NOT_COMPLETE")
     only = F.when(F.length(a) <= 12 * F.length(q), "ONLY").otherwise("NOT_ONLY")
+    return F.struct(*(v.alias(n) for (n, _, _), v in zip(RELEVANCY, (direct, complete, only))))
+
+
+def relevancy(cases: DataFrame, judge: Judge = relevancy_judge) -> DataFrame:
+    """(id, direct, complete, only, relevant): three judgements of question and answer; null for abstentions."""
     asked = F.col("outcome") != "Abstain"
-    said = {n: F.when(asked, v) for (n, _, _), v in zip(RELEVANCY, (direct, complete, only))}
+    cases = cases.withColumn("_said", F.when(asked, judge(F.col("question"), F.col("answer_text"))))
+    said = {n: F.col("_said")[n] for n, _, _ in RELEVANCY}
     return cases.select("id", *(v.alias(n) for n, v in said.items())).withColumn("relevant", (F.col("direct") == "DIRECT") & (F.col("complete") == "COMPLETE") & (F.col("only") == "ONLY"))
 
 

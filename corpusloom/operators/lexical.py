@@ -116,3 +116,23 @@ def matched_counts(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     matches = terms.join(postings(corpus, terms).drop("weight"), "term")
     scored = scores(matches).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("top"))
     return queries.select("query_id").join(scored, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("candidates_matched"), F.coalesce("top", F.lit(0.0)).alias("best_score"))
+
+
+def diagnostics(found: DataFrame, corpus: DataFrame, queries: DataFrame, k: int, filters: dict[str, object] | None = None) -> DataFrame:
+    """One row per question with everything needed to recompute its scores: what ``bm25`` found and out of what.
+
+    Of ``filters`` only ``top_k`` is honoured (it is ``k``); the other names are reported, sorted, and not applied.
+    Questions without result have empty lists.
+    """
+    ignored = sorted(name for name in filters or {} if name != "top_k")
+    item = F.struct("rank", "id", "document_id", "score", F.array_join("matched_terms", " ").alias("terms"))
+    per = found.join(corpus.select("id", "document_id"), "id", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("x"))  # k at most
+    listed = {"retrieved_chunk_ids": "id", "document_ids": "document_id", "scores": "score", "ranking": "rank", "matched_terms": "terms"}
+    x = queries.join(per, "query_id", "left").join(matched_counts(corpus, queries).drop("best_score"), "query_id")
+    # One row of statistics.
+    x = x.join(F.broadcast(corpus_statistics(corpus).select(F.col("n").alias("corpus_size"), F.round("avgdl", DIGITS).alias("average_document_length"))))
+    lists = [F.coalesce(F.array_join(F.col(f"x.{c}").cast("array<string>"), ","), F.lit("")).alias(name) for name, c in listed.items()]
+    return x.select(
+        "query_id", F.col("question").alias("query"), F.array_join(F.array_sort(tokens(F.col("question"))), " ").alias("query_terms"), *lists, F.lit("lexical").alias("retrieval_method"), F.lit(K1).alias("bm25_k1"), F.lit(B).alias("bm25_b"),
+        "average_document_length", F.lit(k).alias("top_k"), "candidates_matched", "corpus_size", F.lit(False).alias("sql_filter_applied"), F.lit(",".join(ignored)).alias("filters_ignored"),
+    )

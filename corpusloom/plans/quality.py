@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import quality as op
@@ -149,20 +151,111 @@ def q_x_canonical(spark: SparkSession, d: str) -> DataFrame:
     return op.violations(t.where(~F.col("canonical") & ~F.coalesce(F.col("failure_category").isin("Stale Version", "Contradiction"), F.lit(False))), "x17", "id", "expected_source")
 
 
-_SUITE = (q_dq_hash_freshness, q_dq_unchunked, q_dq_chunk_orphans, q_dq_manifest_fields, q_gd_fields, q_gd_verbatim, q_qa_fields, q_et_fields, q_x_fact_fk, q_x_supporting_fk, q_x_empty_evidence, q_x_question_copy, q_x_answer_copy, q_x_source_in_manifest, q_x_chunk_fk, q_x_fact_coverage, q_x_canonical)
+# Kinds of failure that a question may probe.
+FAILURES = ("Paraphrase", "Exact Fact", "Multi-hop", "No Answer", "False Premise", "Stale Version", "Contradiction")
+
+
+def q_gd_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Facts whose id lacks their source's prefix, whose document is not in the manifest or under another path there,
+    or that quote or state what another fact does."""
+    f = inputs.facts(spark, d)
+    x = f.join(inputs.manifest(spark, d).select(F.col("id").alias("document_id"), F.col("source").alias("path"), F.lit(1).alias("there")), "document_id", "left")
+    named = F.col("id").rlike(r"_f[0-9]+\z") & (F.regexp_replace("id", r"_f[0-9]+\z", "") == F.col("source"))
+    out = op.violations(x.where(~F.coalesce(named, F.lit(False))), "gd4", "id", "source").unionByName(op.violations(x.where("document_id IS NOT NULL AND there IS NULL"), "gd6", "id", "document_id"))
+    out = out.unionByName(op.violations(x.where(F.col("there").isNotNull() & ~F.col("path").eqNullSafe(F.col("document_source"))), "gd7", "id", "document_source"))
+    for c, name in (("source_text", "gd12 text"), ("fact", "gd12 fact")):
+        again = f.where(F.col(c).isNotNull()).groupBy(F.sha2(c, 256).alias("h")).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n > 1")
+        out = out.unionByName(op.violations(again, name, "id", "n"))
+    return out
+
+
+def q_qa_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs whose id is not that of their fact, whose source is not their fact's, of unknown failure category, asked
+    twice, unanswerable but marked answerable, or with malformed or own supporting facts."""
+    p = inputs.pairs(spark, d)
+    x = p.join(inputs.facts(spark, d).select(F.col("id").alias("fact_id"), F.col("source").alias("theirs"), F.lit(1).alias("there")), "fact_id", "left")
+    supports = F.coalesce("supporting_fact_ids", F.array().cast("array<string>"))
+    asked = p.where("question IS NOT NULL").groupBy(F.sha2("question", 256).alias("h")).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n > 1")
+    tests = (
+        ("qa4", x.where(~F.coalesce(F.startswith("id", F.concat(F.lit("qa_"), "fact_id", F.lit("_"))), F.lit(False))), "fact_id"),
+        ("qa5", x.where(F.col("there").isNotNull() & ~F.col("source").eqNullSafe(F.col("theirs"))), "source"),
+        ("qa7", x.where(~F.coalesce(F.col("failure_category").isin(*FAILURES), F.lit(False))), "failure_category"),
+        ("qa8 repeated", asked, "n"),
+        ("qa8 answerable", x.where(F.col("failure_category").eqNullSafe("No Answer") & F.coalesce("answerable", F.lit(True))), "failure_category"),
+        ("qa9 form", x.where(F.exists(supports, lambda k: k.isNull() | ~k.rlike(r"^[a-z]+_f[0-9]+\z"))), "fact_id"),
+        ("qa9 own", x.where(F.exists(supports, lambda k: k.eqNullSafe(F.col("fact_id")) & k.isNotNull())), "fact_id"),
+    )
+    found = [op.violations(rows, name, "id", detail) for name, rows, detail in tests]
+    return reduce(DataFrame.unionByName, found)
+
+
+def q_et_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Trace entries with malformed or repeated expected chunks, with metrics missing or blank, or with a route."""
+    t = inputs.expectations(spark, d)
+    none = F.array().cast("array<string>")
+    chunks, metrics = F.coalesce("expected_chunk", none), F.coalesce("expected_metrics", none)
+    tests = (
+        ("et5 chunk", t.where(F.exists(chunks, lambda k: k.isNull() | ~k.rlike(r"^[0-9a-f]{16}\z"))), F.size(chunks)),
+        ("et5 repeated", t.where(F.size(F.array_distinct(chunks)) < F.size(chunks)), F.size(chunks)),
+        ("et5 metrics", t.where((F.size(metrics) == 0) | F.exists(metrics, lambda k: k.isNull() | (F.trim(k) == ""))), F.size(metrics)),
+        ("et5 route", t.where("expected_retrieval_route IS NOT NULL"), F.col("expected_retrieval_route")),
+    )
+    return reduce(DataFrame.unionByName, [op.violations(rows, name, "id", detail) for name, rows, detail in tests])
+
+
+def _cited(spark: SparkSession, d: str) -> DataFrame:
+    """(id, fact_id, expected_source): the facts that each trace entry's pair cites."""
+    keys = F.array_distinct(F.filter(F.concat(F.array("fact_id"), F.coalesce("supporting_fact_ids", F.array().cast("array<string>"))), lambda k: k.isNotNull()))
+    p = inputs.pairs(spark, d).select(F.concat(F.lit("meta_"), "id").alias("id"), F.col("fact_id").alias("parent"), F.explode(keys).alias("fact_id"))
+    return p.join(inputs.expectations(spark, d).select("id", "expected_source"), "id")
+
+
+def q_x_source_of_fact(spark: SparkSession, d: str) -> DataFrame:
+    """Entries whose source is not the document of their pair's fact."""
+    f = inputs.facts(spark, d).select(F.col("id").alias("fact_id"), "document_id")
+    x = _cited(spark, d).where("fact_id = parent").join(f, "fact_id").where(~F.col("document_id").eqNullSafe(F.col("expected_source")))
+    return op.violations(x, "x10", "id", "expected_source")
+
+
+def q_x_chunk_order(spark: SparkSession, d: str) -> DataFrame:
+    """Entries whose expected chunks do not rise by their place in the document; unknown chunks are passed over."""
+    t = inputs.expectations(spark, d).select("id", F.posexplode("expected_chunk").alias("place", "chunk_id"))
+    x = t.join(inputs.corpus(spark, d).select(F.col("id").alias("chunk_id"), "chunk_index"), "chunk_id")
+    before = F.lag("chunk_index").over(Window.partitionBy("id").orderBy("place"))
+    falls = x.withColumn("before", before).where("chunk_index < before").groupBy("id").agg(F.count("*").alias("n"))
+    return op.violations(falls, "x14", "id", "n")
+
+
+def q_x_grounded(spark: SparkSession, d: str) -> DataFrame:
+    """Cited facts whose source text does not stand in the entry's expected source."""
+    f = inputs.facts(spark, d).where("source_text <> ''").select(F.col("id").alias("fact_id"), "source_text")
+    x = _cited(spark, d).join(f, "fact_id").join(inputs.documents(spark, d).select(F.col("document_id").alias("expected_source"), "text"), "expected_source")
+    return op.violations(x.where(~F.contains("text", F.col("source_text"))), "x16", "id", "fact_id")
+
+
+_SUITE = (q_dq_hash_freshness, q_dq_unchunked, q_dq_chunk_orphans, q_dq_manifest_fields, q_gd_fields, q_gd_verbatim, q_qa_fields, q_et_fields, q_x_fact_fk, q_x_supporting_fk, q_x_empty_evidence, q_x_question_copy, q_x_answer_copy, q_x_source_in_manifest, q_x_chunk_fk, q_x_fact_coverage, q_x_canonical, q_dq_unique_ids, q_dq_completeness, q_dq_chunk_contract, q_gd_rules, q_qa_rules, q_et_rules, q_x_single_document, q_x_trace_pairs, q_x_derivations, q_x_source_of_fact, q_x_chunk_in_source, q_x_chunk_order, q_x_grounded)
 _CHECKS = ("dq1", "dq4", "dq6", "manifest", "gd", "gd_verbatim", "qa", "et", "x1", "x2", "x3", "x6", "x7", "x11", "x12", "x15", "x17")
+# Checks that one query makes several of.
+_MORE = {
+    "q_dq_unique_ids": ("manifest", "chunks", "resume_facts", "resume_qa_pairs", "resume_evidence_trace", "generation_results"), "q_dq_completeness": ("no entry", "no document"), "q_dq_chunk_contract": ("fields", "length"),
+    "q_gd_rules": ("gd4", "gd6", "gd7", "gd12 text", "gd12 fact"), "q_qa_rules": ("qa4", "qa5", "qa7", "qa8 repeated", "qa8 answerable", "qa9 form", "qa9 own"), "q_et_rules": ("et5 chunk", "et5 repeated", "et5 metrics", "et5 route"),
+    "q_x_single_document": ("x4",), "q_x_trace_pairs": ("no entry", "no pair"), "q_x_derivations": ("x8", "x9"), "q_x_source_of_fact": ("x10",), "q_x_chunk_in_source": ("x13",), "q_x_chunk_order": ("x14",), "q_x_grounded": ("x16",),
+}
 
 
 def q_quality_report(spark: SparkSession, d: str) -> DataFrame:
-    """One row per check, PASS or FAIL, with its violations."""
-    return op.report([f(spark, d) for f in _SUITE], list(_CHECKS))
+    """One row per check of every query here, PASS or FAIL, with its violations."""
+    named = [(f.__name__, f(spark, d)) for f in _SUITE]
+    # Those that make several checks are named with their query, as two of them use one name.
+    found = [x if n not in _MORE else x.withColumn("check", F.concat(F.lit(n.removeprefix("q_") + ": "), "check")) for n, x in named]
+    return op.report(found, [*_CHECKS, *(f"{n.removeprefix('q_')}: {c}" for n, checks in _MORE.items() for c in checks)])
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         q_dq_hash_freshness, q_dq_unique_ids, q_dq_completeness, q_dq_unchunked, q_dq_chunk_contract, q_dq_chunk_orphans, q_dq_manifest_fields, q_gd_fields, q_gd_verbatim, q_qa_fields, q_et_fields, q_x_fact_fk, q_x_supporting_fk,
-        q_x_empty_evidence, q_x_single_document, q_x_trace_pairs, q_x_question_copy, q_x_answer_copy, q_x_derivations, q_x_source_in_manifest, q_x_chunk_fk, q_x_chunk_in_source, q_x_fact_coverage, q_x_canonical, q_quality_report,
+        q_x_empty_evidence, q_x_single_document, q_x_trace_pairs, q_x_question_copy, q_x_answer_copy, q_x_derivations, q_x_source_in_manifest, q_x_chunk_fk, q_x_chunk_in_source, q_x_fact_coverage, q_x_canonical, q_gd_rules, q_qa_rules, q_et_rules, q_x_source_of_fact, q_x_chunk_order, q_x_grounded, q_quality_report,
     )
 }
 
@@ -206,5 +299,40 @@ ORACLE = {
     "q_x_fact_coverage": _FC + _v("x15", "id", "'none'", "fact WHERE id NOT IN (SELECT fact_id FROM fc)"),
     "q_x_canonical": "WITH " + inputs.MANIFEST + ", " + inputs.PAIRS + ", " + inputs.TRACE + " " + _v("x17", "t.id", "t.expected_source", "trace t JOIN pair p ON t.id = 'meta_' || p.id JOIN man m ON m.id = t.expected_source WHERE NOT m.canonical AND coalesce(p.failure_category, '') NOT IN ('Stale Version', 'Contradiction')"),
 }
+_CITED = "cited AS (SELECT x.id, x.parent, x.fact_id, t.expected_source FROM (SELECT 'meta_' || id AS id, fact_id AS parent, unnest(list_distinct(list_filter([fact_id] || coalesce(supporting_fact_ids, []), lambda k: k IS NOT NULL))) AS fact_id FROM pair) x JOIN trace t ON t.id = x.id) "
+_FM = "WITH " + inputs.FACTS + ", " + inputs.MANIFEST + " "
+_FP = "WITH " + inputs.FACTS + ", " + inputs.PAIRS + " "
+_FPT = "WITH " + inputs.FACTS + ", " + inputs.PAIRS + ", " + inputs.TRACE + ", " + _CITED
+_again = lambda name, c, rest: _v(name, "min(id)", "count(*)", f"{rest} WHERE {c} IS NOT NULL GROUP BY sha256({c}) HAVING count(*) > 1")
+_known = ", ".join(f"'{c}'" for c in FAILURES)
+_PF = "pair p LEFT JOIN fact f ON f.id = p.fact_id"
+ORACLE |= {
+    "q_gd_rules": _FM + " UNION ALL ".join((
+        _v("gd4", "id", "source", "fact WHERE NOT coalesce(regexp_matches(id, '_f[0-9]+$') AND regexp_replace(id, '_f[0-9]+$', '') = source, false)"),
+        _v("gd6", "f.id", "f.document_id", "fact f LEFT JOIN man m ON m.id = f.document_id WHERE f.document_id IS NOT NULL AND m.id IS NULL"),
+        _v("gd7", "f.id", "f.document_source", "fact f JOIN man m ON m.id = f.document_id WHERE m.source IS DISTINCT FROM f.document_source"),
+        _again("gd12 text", "source_text", "fact"), _again("gd12 fact", "fact", "fact"),
+    )),
+    "q_qa_rules": _FP + " UNION ALL ".join((
+        _v("qa4", "id", "fact_id", "pair WHERE NOT coalesce(starts_with(id, 'qa_' || fact_id || '_'), false)"),
+        _v("qa5", "p.id", "p.source", "pair p JOIN fact f ON f.id = p.fact_id WHERE p.source IS DISTINCT FROM f.source"),
+        _v("qa7", "id", "failure_category", f"pair WHERE NOT coalesce(failure_category IN ({_known}), false)"), _again("qa8 repeated", "question", "pair"),
+        _v("qa8 answerable", "id", "failure_category", "pair WHERE failure_category = 'No Answer' AND coalesce(answerable, true)"),
+        _v("qa9 form", "id", "fact_id", "pair WHERE len(list_filter(coalesce(supporting_fact_ids, []), lambda k: k IS NULL OR NOT regexp_matches(k, '^[a-z]+_f[0-9]+$'))) > 0"),
+        _v("qa9 own", "id", "fact_id", "pair WHERE list_contains(supporting_fact_ids, fact_id)"),
+    )),
+    "q_et_rules": _T + " " + " UNION ALL ".join((
+        _v("et5 chunk", "id", "len(expected_chunk)", "trace WHERE len(list_filter(coalesce(expected_chunk, []), lambda k: k IS NULL OR NOT regexp_matches(k, '^[0-9a-f]{16}$'))) > 0"),
+        _v("et5 repeated", "id", "len(expected_chunk)", "trace WHERE len(list_distinct(expected_chunk)) + CASE WHEN len(list_filter(expected_chunk, lambda k: k IS NULL)) > 0 THEN 1 ELSE 0 END < len(expected_chunk)"),
+        _v("et5 metrics", "id", "len(coalesce(expected_metrics, []))", "trace WHERE len(coalesce(expected_metrics, [])) = 0 OR len(list_filter(expected_metrics, lambda k: k IS NULL OR trim(k, ' ') = '')) > 0"),
+        _v("et5 route", "id", "expected_retrieval_route", "trace WHERE expected_retrieval_route IS NOT NULL"),
+    )),
+    "q_x_source_of_fact": _FPT + _v("x10", "c.id", "c.expected_source", "cited c JOIN fact f ON f.id = c.fact_id WHERE c.fact_id = c.parent AND f.document_id IS DISTINCT FROM c.expected_source"),
+    "q_x_chunk_order": "WITH " + inputs.CORPUS + ", " + inputs.TRACE + ", placed AS (SELECT t.id, t.place, c.chunk_index, lag(c.chunk_index) OVER (PARTITION BY t.id ORDER BY t.place) AS before FROM (SELECT id, unnest(expected_chunk) AS k, generate_subscripts(expected_chunk, 1) AS place FROM trace) t JOIN corpus c ON c.id = t.k) " + _v("x14", "id", "count(*)", "placed WHERE chunk_index < before GROUP BY id"),
+    "q_x_grounded": _FPT + _v("x16", "c.id", "c.fact_id", "cited c JOIN fact f ON f.id = c.fact_id JOIN documents d ON d.document_id = c.expected_source WHERE d.text IS NOT NULL AND f.source_text <> '' AND NOT contains(d.text, f.source_text)"),
+}
 _REPORTED = {"dq1": "q_dq_hash_freshness", "dq4": "q_dq_unchunked", "dq6": "q_dq_chunk_orphans", "manifest": "q_dq_manifest_fields", "gd": "q_gd_fields", "gd_verbatim": "q_gd_verbatim", "qa": "q_qa_fields", "et": "q_et_fields", "x1": "q_x_fact_fk", "x2": "q_x_supporting_fk", "x3": "q_x_empty_evidence", "x6": "q_x_question_copy", "x7": "q_x_answer_copy", "x11": "q_x_source_in_manifest", "x12": "q_x_chunk_fk", "x15": "q_x_fact_coverage", "x17": "q_x_canonical"}
-ORACLE["q_quality_report"] = " UNION ALL ".join(f"SELECT '{c}' AS \"check\", CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS violations FROM ({ORACLE[q]})" for c, q in _REPORTED.items())
+ORACLE["q_quality_report"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS \"check\", CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS violations FROM ({ORACLE[q]}) WHERE \"check\" = '{c}'"
+    for name, c, q in [(c, c, q) for c, q in _REPORTED.items()] + [(f"{q.removeprefix('q_')}: {c}", c, q) for q, checks in _MORE.items() for c in checks]
+)

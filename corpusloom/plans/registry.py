@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import evaluation, integrity, quality, retrieval
+from corpusloom.plans import evaluation, gates, integrity, quality, retrieval
 
-_MODULES = (integrity, retrieval, evaluation, quality)
+_MODULES = (integrity, retrieval, evaluation, gates, quality)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
 
