@@ -1,23 +1,36 @@
-"""Ask one question of a chunk table: ``python -m corpusloom.cli --data DIR --question TEXT [--top-k N]``."""
+"""Ask one question of a chunk table: ``python -m corpusloom.cli --data DIR --question TEXT [--top-k N] [--route R]``."""
 
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.ids import placeholder_embedding
 from corpusloom.operators.assemble import answers, resolved
+from corpusloom.operators.fusion import reciprocal_rank_fusion
 from corpusloom.operators.lexical import bm25
+from corpusloom.operators.vectors import semantic
 from corpusloom.plans import inputs
+from corpusloom.runtime import released, stage
 
+ROUTES = ("fused", "lexical", "semantic")
 
-def answer(spark: SparkSession, data: str, question: str, k: int = 5) -> str:
-    """The answer quoted from the k best chunks, as one JSON document."""
-    corpus = inputs.corpus(spark, data)
-    asked = spark.createDataFrame([("q", question)], "query_id string, question string")
-    said = answers(asked, resolved(bm25(corpus, asked, k), corpus))
-    return said.select(F.to_json(F.struct("answer_text", "outcome", "statements"))).first()[0]
+
+def answer(spark: SparkSession, data: str, question: str, k: int = 5, route: str = "fused", embed: Callable[[Column], Column] = placeholder_embedding) -> str:
+    """The answer quoted from the k best chunks of a route, as one JSON document.
+
+    Without a model for ``embed`` the semantic route goes by the placeholder embedding, which knows no meaning.
+    """
+    with released():
+        corpus = stage(inputs.corpus(spark, data), "corpus")
+        asked = spark.createDataFrame([("q", question)], "query_id string, question string")
+        routes = {"lexical": lambda: bm25(corpus, asked, k), "semantic": lambda: semantic(asked, corpus, embed, k)}
+        found = routes[route]() if route in routes else reciprocal_rank_fusion(routes["semantic"](), routes["lexical"](), corpus, k)
+        said = answers(asked, resolved(found, corpus))
+        return said.select(F.to_json(F.struct("answer_text", "outcome", "statements"))).first()[0]
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -26,10 +39,11 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--data", required=True)
     p.add_argument("--question", required=True)
     p.add_argument("--top-k", type=int, default=5)
+    p.add_argument("--route", choices=ROUTES, default="fused")
     a = p.parse_args(argv)
     if not a.question.strip():
         p.error("the question is blank")
-    print(answer(SparkSession.builder.getOrCreate(), a.data, a.question, a.top_k))
+    print(answer(SparkSession.builder.getOrCreate(), a.data, a.question, a.top_k, a.route))
     return 0
 
 

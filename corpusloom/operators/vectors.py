@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.runtime import stage
@@ -63,6 +63,16 @@ def nearest_of(queries: DataFrame, corpus: DataFrame, k: int = 5, digits: int =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def semantic(queries: DataFrame, corpus: DataFrame, embed: Callable[[Column], Column], k: int = 5) -> DataFrame:
+    """(query_id, rank, id, score): the k texts whose embedding is nearest to each question's, by inner product.
+
+    ``queries`` has query_id and question, ``corpus`` id and text. ``embed`` is the provider: a function from a text
+    column to a column of numbers, such as a pandas UDF of a model, whose vectors are of one length.
+    """
+    one = lambda df, key, text: df.select(F.lit("e").alias("space"), F.col(key).alias("id"), embed(F.col(text)).alias("v"))
+    return nearest_of(one(queries, "query_id", "question"), one(corpus, "id", "text"), k)
+
+
 def corpus_fingerprint(rows: DataFrame, key: str, text: str, group: int = 1024) -> DataFrame:
     """One row (rows, fingerprint): a hash tree over all (key, text), whatever their order and partitioning.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import assemble, diagnose, evaluate, gates, judged, lexical
+from corpusloom.operators import assemble, diagnose, evaluate, gates, judged, lexical, prompts, reports
 from corpusloom.plans import evaluation, inputs, retrieval
 from corpusloom.plans.evaluation import _CASES, _DIAG, _METRICS, _R, _sh, _strip
 from corpusloom.runtime import stage
@@ -81,9 +83,23 @@ def q_model_answers(spark: SparkSession, d: str) -> DataFrame:
     return x.select("query_id", "outcome", F.sha2("answer_text", 256).alias("h"), F.size("evidence").alias("evidence"))
 
 
+def q_judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The prompts over every judged case: question and answer, question and first passage, answer and context."""
+    c = evaluation._cases(spark, d).withColumn("context", F.array_join(F.transform("passages", lambda p: p["text"]), "\n\n")).withColumn("passage", F.try_element_at("passages", F.lit(1))["text"])
+    given = {"question": F.col("question"), "answer": F.col("answer_text"), "claim": F.col("answer_text"), "context": F.col("context"), "passage": F.coalesce("passage", F.lit("")), "reference": F.col("reference")}
+    said = {n: prompts.prompt(n, **{a: given[a] for a in re.findall(r"\{(\w+)\}", t)}) for n, t in prompts.TEMPLATES.items()}
+    return c.select("id", *(F.sha2(x, 256).alias(n) for n, x in said.items()))
+
+
+def q_metrics_report(spark: SparkSession, d: str) -> DataFrame:
+    """The retrieval metrics as a text report."""
+    long = evaluate.as_metrics(evaluate.retrieval_metrics(evaluation._records(spark, d)))
+    return reports.lines(long.select("metric", F.col("value").cast("double").alias("value")), {"metric": 20, "value": 14}, ["metric"])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (q_record_gate, q_expectation_gate, q_diagnosis_gate, q_diagnosis_checks, q_ratio_check, q_context_gate, q_generation_gate, q_answer_partition, q_retrieval_diagnostics, q_model_answers)
+    for f in (q_judge_prompts, q_metrics_report, q_record_gate, q_expectation_gate, q_diagnosis_gate, q_diagnosis_checks, q_ratio_check, q_context_gate, q_generation_gate, q_answer_partition, q_retrieval_diagnostics, q_model_answers)
 }
 
 
@@ -99,7 +115,14 @@ _PART = """SELECT '{0}' AS partition, (SELECT count(*) FROM prec WHERE {1}) AS c
 (SELECT {2} FROM prec WHERE {1}) AS precision_micro, (SELECT round(coalesce(avg({3}), 0), 4) FROM rec WHERE {1}) AS recall_macro, (SELECT {4} FROM rec WHERE {1}) AS recall_micro"""
 _ratios = (_sh("sum(relevant)", "sum(retrieved)"), _sh("supported", "claims"), _sh("sum(supported)", "sum(claims)"))
 
+_GIVEN = {"question": "question", "answer": "answer_text", "claim": "answer_text", "context": "array_to_string(ps, chr(10) || chr(10))", "passage": "coalesce(ps[1], '')", "reference": "reference"}
+_said = lambda t: " || ".join((_GIVEN[x] if i % 2 else "'" + x.replace("'", "''") + "'") for i, x in enumerate(re.split(r"\{(\w+)\}", t)) if x)
+
 ORACLE = {
+    "q_judge_prompts": _CASES + " SELECT id, " + ", ".join(f"sha256({_said(t)}) AS {n}" for n, t in prompts.TEMPLATES.items()) + " FROM cases",
+    "q_metrics_report": _R + f""", w AS (SELECT {_METRICS} FROM records),
+v AS (SELECT unnest(['matched_total', 'observed_total', 'expected_total', 'precision_micro', 'precision_macro', 'recall_micro', 'recall_macro']) AS metric, unnest([CAST(matched_total AS DOUBLE), observed_total, expected_total, precision_micro, precision_macro, recall_micro, recall_macro]) AS value FROM w)
+SELECT CAST(-1 AS INT) AS n, rpad('metric', 20, ' ') || '  ' || lpad('value', 14, ' ') AS line UNION ALL SELECT 0, repeat('-', 36) UNION ALL SELECT CAST(row_number() OVER (ORDER BY metric) AS INT), rpad(metric, 20, ' ') || '  ' || lpad(printf('%.4f', value), 14, ' ') FROM v""",
     "q_record_gate": _R + _failed({"id": _filled("id"), "nothing expected": "len(e) > 0", "classification": "classification IS NOT NULL", "expected_count": "expected_count = len(e)", "observed_count": "observed_count = len(o)", "matched_count": "matched_count = len(m)"}, "records"),
     "q_expectation_gate": "WITH " + inputs.TRACE + _failed({"id": _filled("id"), "expected_count": _KEPT, "observed_count": _KEPT, "matched_count": _KEPT, "nothing expected": "len(coalesce(expected_chunk, [])) > 0"}, "trace"),
     "q_diagnosis_gate": _DIAG + " SELECT d.id, p.problem FROM diag d JOIN (SELECT rule_id, stage FROM " + evaluation._RULES + ") u ON u.rule_id = d.rule_id CROSS JOIN (SELECT unnest(['stage', 'stage of rule']) AS problem) p WHERE u.stage IS NULL",

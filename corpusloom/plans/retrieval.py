@@ -140,8 +140,7 @@ def _routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
 
 def _semantic(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    embed = lambda df, key, text: df.select(F.lit("p").alias("space"), F.col(key).alias("id"), placeholder_embedding(F.col(text)).alias("v"))
-    return vectors.nearest_of(embed(queries, "query_id", "question"), embed(corpus, "id", "text"), K)
+    return vectors.semantic(queries, corpus, placeholder_embedding, K)
 
 
 def q_semantic_top5(spark: SparkSession, d: str) -> DataFrame:

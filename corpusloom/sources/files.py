@@ -28,9 +28,16 @@ PAIRS_SCHEMA = "schema_version string, qa_pairs array<struct<id:string,source:st
 TRACE_SCHEMA = "schema_version string, evidence_trace array<struct<id:string,question:string,expected_answer:string,expected_source:string,expected_chunk:array<string>,expected_retrieval_route:string,expected_reasoning_type:string,expected_metrics:array<string>,expected_outcome:string>>, _corrupt_record string"
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)"
+
+
 def _relative(root: str) -> Column:
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    return F.substring(plain, len(root.rstrip("/").removeprefix("file://")) + 2, 1 << 20)
+    """The path below ``root``, whether or not the root is given with the scheme and host that paths carry."""
+    import re
+
+    plain = F.regexp_replace(F.regexp_replace("path", _SCHEME, ""), "^/+", "/")
+    below = re.sub("^/+", "/", re.sub(_SCHEME, "", root)).rstrip("/")
+    return F.substring(plain, len(below) + 2, 1 << 30)
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
@@ -126,8 +133,8 @@ def save_index(vectors: DataFrame, identity: DataFrame, path: str) -> None:
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vectors, identity, problems): problems are the ways in which vectors and identity disagree."""
     vectors, identity = spark.read.parquet(f"{path}/vectors"), spark.read.json(f"{path}/identity")
-    seen = vectors.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"))
-    checks = F.array_compact(F.array(F.when(F.col("n") != F.col("vector_count"), "vector_count"), F.when((F.col("low") != F.col("dimension")) | (F.col("high") != F.col("dimension")), "dimension")))
+    seen = vectors.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"))
+    checks = F.array_compact(F.array(F.when(F.col("n") != F.col("vector_count"), "vector_count"), F.when(F.col("ids") != F.col("n"), "chunk_ids"), F.when((F.col("low") != F.col("dimension")) | (F.col("high") != F.col("dimension")), "dimension")))
     return vectors, identity, identity.select("dimension", "vector_count").join(seen).select(F.explode(checks).alias("problem"))
 
 
