@@ -1,13 +1,19 @@
 """BM25 over a corpus for a batch of questions.
 
-Only terms of the questions are ever posted. Scores are summed as integers of 10^-12, so they do not depend
-on partitioning. ``bm25`` finds the best k exactly without scoring every match: the rarest terms of a
-question give a bar, the terms that together cannot reach it generate no candidates, and the candidates of
-the others are scored in full.
+The corpus is packed once into blocks of posting lists, where it lies; blocks of questions are sent to every
+block of the corpus, and a task adds up the posting lists of a question's terms in arrays as long as the block.
+Only the k best of a block leave it. No match is ever a row, so frequent terms cost an addition each and no
+key is hot. Scores are summed as integers of 10^-12, so they do not depend on partitioning. Terms go by 64-bit
+hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +23,9 @@ from corpusloom.runtime import stage
 # The scoring parameters and the digits of a score.
 K1, B, DIGITS = 1.2, 0.75, 6
 _UNIT = 1_000_000_000_000
-# Room for the rounding of scores when they are held against a bar.
-_SLACK = 1e-5
-#: The bar is set by the weightiest terms of a question that together have this many postings per result.
-SEED_POSTINGS = 40
+_HALF = _UNIT // 10**DIGITS // 2
+#: Texts of a block of the corpus at most, and questions of a block.
+BLOCK, QUERY_BLOCK = 8192, 512
 
 
 def term_frequencies(corpus: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -49,26 +54,141 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def postings(corpus: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, term, tf, weight, gain) for the terms of ``terms``: gain is the score one occurrence in a question
-    adds, weight the most it could add in any text."""
-    vocabulary = terms.select("term").distinct()
-    each = corpus.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    tf = each.join(vocabulary, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    # One row of statistics: a broadcast whose size cannot grow.
-    posted = tf.join(df, "term").join(F.broadcast(corpus_statistics(corpus)))
-    weight = idf(F.col("n"), F.col("df"))
-    length = K1 * (1 - B + B * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")))
-    gain = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + F.coalesce(length, F.lit(K1 * (1 - B))))
-    return posted.select("id", "term", "tf", (weight * (K1 + 1)).alias("weight"), gain.alias("gain"))
+_PACKED = "blk long, n int, ids array<string>, dl binary, terms binary, starts binary, docs binary, tfs binary"
+
+
+def _signed_hashes(words: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64).view(np.int64)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to posting lists, by the texts' place in the corpus, so that ties fall to the lower number."""
+    from pyspark import TaskContext
+
+    made, held, n = TaskContext.get().partitionId() << 32, [], 0
+
+    def block(parts: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        t = t.take(pc.sort_indices(t, sort_keys=[("canon", "ascending"), ("source", "ascending"), ("chunk_index", "ascending"), ("id", "ascending")], null_placement="at_start"))
+        tokens_ = pc.list_flatten(t.column("t")).combine_chunks().dictionary_encode()
+        tokens_ = tokens_ if isinstance(tokens_, pa.DictionaryArray) else tokens_.combine_chunks()
+        dl = pc.list_value_length(t.column("t")).to_numpy().astype(np.int64)
+        hashes = _signed_hashes(tokens_.dictionary.to_pylist())
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        key, tf = np.unique(rank[tokens_.indices.to_numpy()] * t.num_rows + np.repeat(np.arange(t.num_rows), dl), return_counts=True)
+        term, doc = np.divmod(key, max(1, t.num_rows))
+        starts = np.searchsorted(term, np.arange(len(order) + 1))
+        raw = [x.tobytes() for x in (dl.astype(np.int32), hashes[order], starts.astype(np.int32), doc.astype(np.int32), tf.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([t.num_rows], pa.int32()), pa.array([t.column("id").to_pylist()], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in raw)], names=[f.split(" ")[0] for f in _PACKED.split(", ")])
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, BLOCK):
+            part = whole.slice(at, BLOCK)
+            if n and n + part.num_rows > BLOCK:
+                yield block(held, made)
+                made, held, n = made + 1, [], 0
+            held.append(part)
+            n += part.num_rows
+    if n:
+        yield block(held, made)
+
+
+class _Postings:
+    """A packed block as arrays."""
+
+    def __init__(self, row: dict):
+        self.n, self.ids = row["n"], row["ids"]
+        self.dl = np.frombuffer(row["dl"], np.int32)
+        self.terms, self.starts = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["starts"], np.int32)
+        self.docs, self.tfs = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["tfs"], np.int32)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the terms' lists are; -1 for terms that the block does not have."""
+        if not len(self.terms):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        return np.where(self.terms[at] == hashes, at, -1)
+
+    def postings(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        s = slice(self.starts[at], self.starts[at + 1])
+        return self.docs[s], self.tfs[s]
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row in b.to_pylist():
+            starts = np.frombuffer(row["starts"], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["terms"], np.int64)), pa.array(np.diff(starts).astype(np.int64))], names=["h", "df"])
+
+
+def _scorer(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                block = _Postings(row)
+                norm = K1 * (1 - B + B * (block.dl / row["avgdl"] if row["avgdl"] > 0 else np.zeros(block.n)))
+                gains: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                out = []
+                for q in row["queries"]:
+                    places = block.places(np.array([t["h"] for t in q["terms"]], np.int64))
+                    units, hit = np.zeros(block.n, np.int64), []
+                    for t, at in zip(q["terms"], places.tolist()):
+                        if at < 0:
+                            continue
+                        if at not in gains:
+                            docs, tf = block.postings(at)
+                            gains[at] = docs, t["weight"] * tf * (K1 + 1) / (tf + norm[docs])
+                        docs, gain = gains[at]
+                        units[docs] += np.rint(t["times"] * gain * _UNIT).astype(np.int64)
+                        hit.append((t["term"], docs))
+                    found = np.flatnonzero(units)
+                    if not len(found):
+                        continue
+                    score = (units[found] + _HALF) // (2 * _HALF)
+                    if k and len(found) > k:
+                        # All that reach the k-th best score; of equal ones the first in the corpus stay.
+                        bar = np.partition(score, len(score) - k)[len(score) - k]
+                        kept = np.flatnonzero(score >= bar)
+                        kept = kept[np.argsort(-score[kept], kind="stable")][:k]
+                    else:
+                        kept = np.argsort(-score, kind="stable")[: k or 1]
+                    best = found[kept]
+                    inside = [(w, (docs[np.minimum(np.searchsorted(docs, best), len(docs) - 1)] == best).tolist()) for w, docs in hit] if k else []
+                    out += [(q["query_id"], block.ids[d], s / 10**DIGITS, sorted(w for w, x in inside if x[i]), len(found)) for i, (d, s) in enumerate(zip(best.tolist(), score[kept].tolist()))]
+                c = list(zip(*out)) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.list_(pa.string())), pa.array(c[4], pa.int64())], names=["query_id", "id", "score", "matched_terms", "n"])
+
+    return run
+
+
+def _scored(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, matched_terms, n) of the k best texts of every block of the corpus (with k = 0 the one
+    best, without terms), and how many texts of the block share a term."""
+    slim = corpus.select("id", "canon", "source", "chunk_index", tokens(F.col("text")).alias("t"))
+    packed = stage(slim.mapInArrow(_pack, _PACKED), "posting_blocks")
+    # Numbers of blocks: a row per 8192 texts, of which only the count and the sums come here.
+    sums = packed.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    terms = stage(query_terms(queries), "query_terms")
+    hashed = terms.mapInArrow(_with_hash, "query_id string, term string, times long, h long")
+    df = packed.select("terms", "starts").mapInArrow(_document_counts, "h long, df long").join(hashed.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.sum("df").alias("df"))
+    weighed = hashed.join(df, "h").select("query_id", F.struct("term", "h", "times", idf(F.lit(sums["n"]), F.col("df")).alias("weight")).alias("t"))
+    per = weighed.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("terms"))  # of one question
+    count = per.count()
+    asked = per.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-count // QUERY_BLOCK)))).alias("qb")).agg(F.collect_list(F.struct("query_id", "terms")).alias("queries"))
+    slots = max(1, min(sums["blocks"], 1 << 20))
+    spread = asked.select("queries", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    # One row of statistics.
+    met = packed.withColumn("slot", F.pmod(F.xxhash64("blk"), F.lit(slots)).cast("int")).join(spread, "slot").join(F.broadcast(corpus_statistics(corpus).select("avgdl")))
+    return met.mapInArrow(_scorer(k), "query_id string, id string, score double, matched_terms array<string>, n long")
 
 
-def scores(matches: DataFrame) -> DataFrame:
-    """(query_id, id, score, matched_terms) of rows (query_id, id, term, times, gain)."""
-    units = F.round(F.col("times") * F.col("gain") * _UNIT).cast("long")
-    summed = matches.groupBy("query_id", "id").agg(F.sum(units).alias("units"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
-    return summed.select("query_id", "id", F.round(F.col("units") / F.lit(float(_UNIT)), DIGITS).alias("score"), "matched_terms")
+def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("query_id", "term", "times")), pa.array(_signed_hashes(b.column("term").to_pylist()))], names=["query_id", "term", "times", "h"])
 
 
 def ranked(scored: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -84,37 +204,13 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     ``corpus`` has id, text, canon (0 canonical, 1 not), source and chunk_index (its place); ``queries`` has
     query_id and question. Texts without a common token are no candidates; k below 1 gives nothing.
     """
-    # Both are used several times below; postings hold the questions' terms only.
-    terms = stage(query_terms(queries), "query_terms")
-    posted = stage(postings(corpus, terms), "postings")
-    weighed = terms.join(posted.groupBy("term").agg(F.max("weight").alias("weight"), F.count("*").alias("df")), "term").withColumn("most", F.col("times") * F.col("weight"))
-    up = Window.partitionBy("query_id").orderBy("most", "term")
-    weighed = weighed.withColumn("reach", F.sum("most").over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.sum("df").over(Window.partitionBy("query_id").orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, 0)) - F.col("df"))
-    seeds = weighed.where(F.col("before") < SEED_POSTINGS * max(k, 1)).join(posted.drop("weight"), "term")
-    partial = seeds.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("gain")).alias("s"))
-    # A text with none of the needed terms scores less than the bar, whatever else it holds.
-    reached = weighed.join(_bars(partial, k), "query_id", "left").withColumn("needed", F.col("bar").isNull() | (F.col("reach") >= F.col("bar") - _SLACK))
-    rest = reached.groupBy("query_id").agg(F.coalesce(F.max(F.when(~F.col("needed"), F.col("reach"))), F.lit(0.0)).alias("rest"))
-    needed = reached.where("needed").select("query_id", "term", "times").join(posted.drop("weight"), "term")
-    partial = stage(needed.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("gain")).alias("s")), "partial_scores")
-    # Nor can one whose needed terms and all others together stay below the k-th best by needed terms.
-    candidates = partial.join(_bars(partial, k), "query_id", "left").join(rest, "query_id").where(F.col("bar").isNull() | (F.col("s") + F.col("rest") >= F.col("bar") - _SLACK)).select("query_id", "id")
-    matches = candidates.join(posted.drop("weight"), "id").join(terms, ["query_id", "term"])
-    return ranked(scores(matches), corpus, k).select("query_id", "rank", "id", "score", "matched_terms")
-
-
-def _bars(partial: DataFrame, k: int) -> DataFrame:
-    """(query_id, bar): the k-th best of partial scores, for the questions that have so many."""
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))
-    best = partial.withColumn("n", n).where(F.col("n") <= max(k, 1))
-    return best.where(F.col("n") == max(k, 1)).select("query_id", F.col("s").alias("bar"))
+    found = _scored(corpus, queries, max(1, k)).drop("n")
+    return ranked(found, corpus, k).select("query_id", "rank", "id", "score", "matched_terms")
 
 
 def matched_counts(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, candidates_matched, best_score): texts that share a term, before any cut, and the best score."""
-    terms = query_terms(queries)
-    matches = terms.join(postings(corpus, terms).drop("weight"), "term")
-    scored = scores(matches).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("top"))
+    scored = _scored(corpus, queries, 0).groupBy("query_id").agg(F.sum("n").alias("n"), F.max("score").alias("top"))
     return queries.select("query_id").join(scored, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("candidates_matched"), F.coalesce("top", F.lit(0.0)).alias("best_score"))
 
 
