@@ -43,4 +43,13 @@ pairs AS (SELECT a.t AS record_table, a.id AS id_a, b.id AS id_b, len(list_inter
   FROM sized a JOIN sized b ON a.t = b.t AND a.id < b.id AND a.n * 10 >= b.n * 7 AND b.n * 10 >= a.n * 7)
 """
 
-ORACLE = {"p3_found": _WORDS + "SELECT record_table, id_a, id_b FROM pairs WHERE i * 10 >= 7 * (n - i)"}
+ORACLE = {
+    "p3_found": _WORDS + "SELECT record_table, id_a, id_b FROM pairs WHERE i * 10 >= 7 * (n - i)",
+    "p3_groups": _WORDS.replace("WITH rows", "WITH RECURSIVE rows", 1)
+    + """, cls AS (SELECT t, id, min(id) OVER (PARTITION BY t, list_sort(w)) AS c, count(*) OVER (PARTITION BY t, list_sort(w)) AS copies FROM sized),
+link AS (SELECT DISTINCT p.record_table AS t, a.c AS a, b.c AS b FROM pairs p JOIN cls a ON a.t = p.record_table AND a.id = p.id_a JOIN cls b ON b.t = p.record_table AND b.id = p.id_b WHERE i * 10 >= 7 * (n - i) AND a.c <> b.c),
+both_ AS (SELECT t, a, b FROM link UNION SELECT t, b, a FROM link),
+reach AS (SELECT DISTINCT t, c AS a, c AS b FROM cls UNION SELECT r.t, r.a, e.b FROM reach r JOIN both_ e ON e.t = r.t AND e.a = r.b),
+grp AS (SELECT t, a, min(b) AS g FROM reach GROUP BY ALL), deg AS (SELECT t, a, count(*) AS links FROM both_ GROUP BY ALL)
+SELECT c.t AS record_table, c.id, c.c AS cls, g.g AS grp, c.copies, coalesce(d.links, 0) AS links FROM cls c JOIN grp g ON g.t = c.t AND g.a = c.c LEFT JOIN deg d ON d.t = c.t AND d.a = c.c""",
+}

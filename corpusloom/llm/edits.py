@@ -279,10 +279,15 @@ def member_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(kind, id, cls, grp, copies, links): each record's class, group, class size and its class's links."""
+    """(kind, id, cls, grp, copies, links): each record's class, group, class size and its class's links.
+
+    A class and a group go by their smallest record id.
+    """
     nodes = members.select("kind", "cls").distinct()
     groups = components(pairs, nodes)
     degree = pairs.select("kind", F.col("a").alias("cls")).unionByName(pairs.select("kind", F.col("b").alias("cls"))).groupBy("kind", "cls").agg(F.count("*").alias("links"))
-    sizes = members.groupBy("kind", "cls").agg(F.count("*").alias("copies"))
-    of_class = sizes.join(degree, ["kind", "cls"], "left").join(groups, "cls").select("kind", "cls", "grp", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return members.join(of_class, ["kind", "cls"])
+    sizes = members.groupBy("kind", "cls").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+    of_class = sizes.join(degree, ["kind", "cls"], "left").join(groups, "cls").select("kind", "cls", "grp", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"))
+    leads = of_class.groupBy("grp").agg(F.min("first").alias("lead"))
+    named = of_class.join(leads, "grp").select("kind", "cls", F.col("first").alias("name"), "lead", "copies", "links")
+    return members.join(named, ["kind", "cls"]).select("kind", "id", F.col("name").alias("cls"), F.col("lead").alias("grp"), "copies", "links")
