@@ -143,7 +143,13 @@ def q_trace_records(spark: SparkSession, d: str) -> DataFrame:
     candidates = stage(fusion.fused_candidates(sem, lex, corpus), "candidates")
     passages = stage(assemble.resolved(candidates.where(F.col("rank") <= retrieval.K), corpus), "passages")
     records = assemble.traces(queries, candidates, assemble.prompts(queries, passages), assemble.answers(queries, passages), retrieval.K)
-    return records.select("query_id", F.to_json(F.struct("query", "retrieval", "assembly", "generation")).alias("record"))
+    # Flattened, so that the records can be compared; rank, routes' ranks and score in millionths of every candidate.
+    shown = F.transform("retrieval.candidates", lambda c: F.concat_ws(":", c["rank"].cast("string"), c["id"], F.coalesce(c["semantic_rank"].cast("string"), F.lit("-")), F.coalesce(c["lexical_rank"].cast("string"), F.lit("-")), F.round(c["score"] * 1e6).cast("long").cast("string"), c["selected"].cast("string")))
+    chunks = lambda of: F.transform(of, lambda p: p["chunk_id"])
+    return records.select(
+        "query_id", F.col("query.question").alias("question"), F.col("retrieval.route").alias("route"), F.col("retrieval.top_k").alias("top_k"), F.coalesce(F.array_join(shown, ","), F.lit("")).alias("candidates"), F.array_join("assembly.chunk_ids", ",").alias("chunk_ids"),
+        F.array_join(chunks("assembly.provenance"), ",").alias("provenance"), F.col("generation.outcome").alias("outcome"), F.sha2("generation.answer_text", 256).alias("answer"), F.array_join(F.flatten(F.transform("generation.statements", lambda s: chunks(s["supporting_evidence"]))), ",").alias("evidence"),
+    )
 
 
 def q_trace_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -292,6 +298,11 @@ rl2 AS (SELECT *, direct = 'DIRECT' AND complete = 'COMPLETE' AND "only" = 'ONLY
 _agg = lambda name, c: _CASES + f"SELECT '{name}' AS metric, count(claims) AS measured, count(*) FILTER (claims IS NULL) AS unmeasured, CAST(sum(claims) AS BIGINT) AS claims, CAST(sum({c}) AS BIGINT) AS hits, round(avg(CAST({c} AS DOUBLE) / claims), 4) AS macro, round(CAST(sum({c}) AS DOUBLE) / sum(claims), 4) AS micro FROM cm"
 
 ORACLE = {
+    "q_trace_records": retrieval.BM25 + retrieval.FUSED + """,
+cs AS (SELECT query_id, string_agg(concat_ws(':', rank, id, coalesce(CAST(semantic_rank AS VARCHAR), '-'), coalesce(CAST(lexical_rank AS VARCHAR), '-'), CAST(round(score * 1e6) AS BIGINT), CAST(rank <= 5 AS VARCHAR)), ',' ORDER BY rank) AS candidates FROM fusedall GROUP BY 1),
+ps AS (SELECT f.query_id, string_agg(f.id, ',' ORDER BY rank) AS ids, string_agg(c.text, chr(10) ORDER BY rank) AS said FROM fusedall f JOIN corpus c ON c.id = f.id WHERE rank <= 5 GROUP BY 1)
+SELECT q.query_id, q.question, 'fused' AS route, CAST(5 AS INT) AS top_k, coalesce(candidates, '') AS candidates, coalesce(ids, '') AS chunk_ids, coalesce(ids, '') AS provenance, CASE WHEN ids IS NULL THEN 'Abstain' ELSE 'Answer' END AS outcome,
+sha256(coalesce(said, 'No supporting evidence was retrieved for this query.')) AS answer, coalesce(ids, '') AS evidence FROM questions q LEFT JOIN cs USING (query_id) LEFT JOIN ps USING (query_id)""",
     "q_fact_spans": _F + ' SELECT fact_id, document_id, start, "end", occurrences FROM spans',
     "q_fact_chunks": _F + " SELECT fact_id, chunk_id, chunk_index FROM fc",
     "q_evidence_trace": _F + ", " + inputs.PAIRS + """,
