@@ -19,11 +19,13 @@ from corpusloom.runtime import released, stage
 ROUTES = ("fused", "lexical", "semantic")
 
 
-def answer(spark: SparkSession, data: str, question: str, k: int = 5, route: str = "fused", embed: Callable[[Column], Column] = placeholder_embedding) -> str:
+def answer(spark: SparkSession, data: str, question: str, k: int = 5, route: str | None = None, embed: Callable[[Column], Column] | None = None) -> str:
     """The answer quoted from the k best chunks of a route, as one JSON document.
 
-    Without a model for ``embed`` the semantic route goes by the placeholder embedding, which knows no meaning.
+    With a model for ``embed`` the route is the fused one unless another is named. Without one it is the lexical
+    one: the placeholder embedding, which the other routes then go by, knows no meaning and always finds something.
     """
+    route, embed = route or ("fused" if embed else "lexical"), embed or placeholder_embedding
     with released():
         corpus = stage(inputs.corpus(spark, data), "corpus")
         asked = spark.createDataFrame([("q", question)], "query_id string, question string")
@@ -39,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--data", required=True)
     p.add_argument("--question", required=True)
     p.add_argument("--top-k", type=int, default=5)
-    p.add_argument("--route", choices=ROUTES, default="fused")
+    p.add_argument("--route", choices=ROUTES, default=None)
     a = p.parse_args(argv)
     if not a.question.strip():
         p.error("the question is blank")

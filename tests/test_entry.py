@@ -1,4 +1,4 @@
-"""Every registered query runs on the smallest tables and agrees with its SQL on names and number of columns."""
+"""The entry point: names, columns, and the flagship whatever the partitioning (the driver compares every query)."""
 
 import __spark_entry__
 from corpusloom.plans import registry

@@ -70,7 +70,7 @@ def test_chunks(spark):
     long = "word " * 500
     spans = chunking.chunk_spans(long)
     assert all(0 < b - a <= 1000 for a, b in spans) and "".join(long[a:b] for a, b in spans).replace(" ", "") == long.replace(" ", "")
-    assert chunking.cut_spans("x" * 2500, 0, 2500) == [(0, 1000), (1000, 2000), (2000, 2500)]
+    assert chunking.chunk_spans("x" * 2500) == [(0, 1000), (1000, 2000), (2000, 2500)]
     df = spark.createDataFrame([("d1", "a\n\nb"), ("d2", None), ("d3", "")], "document_id string, text string")
     got = chunking.chunk(df).orderBy("chunk_index").collect()
     assert [(r.document_id, r.text, r.chunk_index, r.character_start, r.character_end) for r in got] == [("d1", "a", 0, 0, 1), ("d1", "b", 1, 3, 4)]
@@ -125,7 +125,7 @@ def test_embeddings_are_searched_in_full(spark, tmp_path):
     rows = {i: rng.normal(size=4).astype(np.float32) for i in range(130)}
     spark.createDataFrame([(i, x.tolist()) for i, x in rows.items()], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {}
-    for r in retrieval.QUERIES["q_embedding_all_top5"](spark, str(tmp_path)).orderBy("rank").collect():
+    for r in retrieval.QUERIES["q_embedding_top5"](spark, str(tmp_path)).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     scores = {q: {i: round(float(rows[q].astype(float) @ x.astype(float)), 6) for i, x in rows.items()} for q in range(0, 130, 20)}
     assert got == {q: sorted(s, key=lambda i: (-s[i], i))[:5] for q, s in scores.items()}

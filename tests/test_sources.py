@@ -85,5 +85,8 @@ def test_command_line(spark, capsys):
     question = spark.read.parquet(f"{SF}/resume_qa_pairs.parquet").where("question IS NOT NULL").first().question
     assert json.loads(cli.answer(spark, SF, question, 2))["outcome"] == "Answer"
     assert json.loads(cli.answer(spark, SF, "§§§", 2))["outcome"] == "Abstain"
+    fused = json.loads(cli.answer(spark, SF, question, 3, route="fused"))
+    lexical = json.loads(cli.answer(spark, SF, question, 1, route="lexical"))
+    assert len(fused["statements"]) == 3 and lexical["statements"][0] in fused["statements"]
     with pytest.raises(SystemExit):
         cli.main(["--data", SF, "--question", " "])
