@@ -6,7 +6,7 @@ segments, too few for each to differ in two: one segment differs in at most one
 indexed as it is and with each one of its set bits wiped out, so two such segments meet by equality (as they
 are, or one as it is and the other with a bit wiped out), and pairs that met are verified on the words.
 
-A signature carries its record's size and a sketch of its words, 48 bits of which every word sets one: sets
+A signature carries its record's size and a sketch of its words, 112 bits of which every word sets one: sets
 that differ in d words have sketches that differ in d bits at most, so what meets by chance is mostly told
 before any words are fetched.
 
@@ -41,8 +41,8 @@ CROWD = 48
 FREQUENT_ONE_IN = 2000
 #: Words of the smallest subsets.
 FEWEST_RARE = 2
-#: Bits of a sketch; the size of a set stands above them, as this at most.
-SKETCH, _MOST_SIZE = 48, (1 << 15) - 1
+#: Bits of the first and of the second word of a sketch; above the first ones stands the size, as this at most.
+SKETCH, MORE, _MOST_SIZE = 48, 64, (1 << 15) - 1
 #: Records whose signatures leave Python in one batch.
 _BATCH = 256
 _MASK = (1 << 64) - 1
@@ -163,18 +163,18 @@ def extended_subsets(words: list[str], rank: dict[str, int], t: float, r: int, c
     return out
 
 
-def sketch(words: list[str]) -> int:
-    """A set's size (up to a bound) above the bits that its words set."""
+def sketch(words: list[str]) -> tuple[int, int]:
+    """A set's size (up to a bound) above the first of the bits that its words set, and the other bits."""
     bits = 0
     for w in words:
-        bits |= 1 << (_hash(w) >> 7) % SKETCH
-    return min(len(words), _MOST_SIZE) << SKETCH | bits
+        bits |= 1 << (_hash(w) >> 7) % (SKETCH + MORE)
+    return min(len(words), _MOST_SIZE) << SKETCH | bits & ((1 << SKETCH) - 1), _signed(bits >> SKETCH)
 
 
 def _may_be_similar(x: str, y: str, t: float) -> Column:
     """Whether sets with these sketches can have a Jaccard similarity of ``t``."""
     size = lambda c: F.shiftright(c, SKETCH)
-    differ = F.bit_count(F.col(x).bitwiseXOR(F.col(y)).bitwiseAND((1 << SKETCH) - 1))
+    differ = F.bit_count(F.col(x).bitwiseXOR(F.col(y)).bitwiseAND((1 << SKETCH) - 1)) + F.bit_count(F.col(f"{x}2").bitwiseXOR(F.col(f"{y}2")))
     n = size(x) + size(y)
     return (size(x) == _MOST_SIZE) | (size(y) == _MOST_SIZE) | (differ <= n * ((1 - t) / (1 + t)) + 1e-6) & (F.least(size(x), size(y)) >= F.greatest(size(x), size(y)) * t - 1e-6)
 
@@ -194,22 +194,22 @@ def _map(df: DataFrame, inputs: list[str], schema: str, types: list, make) -> Da
     return df.mapInArrow(run, schema)
 
 
-_SIG_ROW = [("sig", pa.int64()), ("places", pa.binary()), ("done", pa.bool_()), ("cls", pa.int64()), ("sk", pa.int64())]
-_SIG_SCHEMA = "sig long, places binary, done boolean, cls long, sk long"
+_SIG_ROW = [("sig", pa.int64()), ("places", pa.binary()), ("done", pa.bool_()), ("cls", pa.int64()), ("sk", pa.int64()), ("sk2", pa.int64())]
+_SIG_SCHEMA = "sig long, places binary, done boolean, cls long, sk long, sk2 long"
 
 
 def _variant_rows(classes: DataFrame, t: float) -> DataFrame:
     def make(kind, cls, words):
         sk = sketch(words)
-        return [(sig, whole, cls, sk) for sig, whole in deletion_variants(words, kind, t)]
+        return [(sig, whole, cls, *sk) for sig, whole in deletion_variants(words, kind, t)]
 
-    return _map(classes, ["kind", "cls", "words"], "sig long, whole boolean, cls long, sk long", [("sig", pa.int64()), ("whole", pa.bool_()), ("cls", pa.int64()), ("sk", pa.int64())], make)
+    return _map(classes, ["kind", "cls", "words"], "sig long, whole boolean, cls long, sk long, sk2 long", [("sig", pa.int64()), ("whole", pa.bool_()), ("cls", pa.int64()), ("sk", pa.int64()), ("sk2", pa.int64())], make)
 
 
 def _subset_rows(classes: DataFrame, rank: dict[str, int], t: float) -> DataFrame:
     def make(kind, cls, words):
         sk, done = sketch(words), _least_overlap(len(words), t) <= FEWEST_RARE
-        return [(sig, places, done, cls, sk) for sig, places in rare_subsets(words, rank, kind, t)]
+        return [(sig, places, done, cls, *sk) for sig, places in rare_subsets(words, rank, kind, t)]
 
     return _map(classes, ["kind", "cls", "words"], _SIG_SCHEMA, _SIG_ROW, make)
 
@@ -217,7 +217,7 @@ def _subset_rows(classes: DataFrame, rank: dict[str, int], t: float) -> DataFram
 def _extended_rows(classes: DataFrame, rank: dict[str, int], t: float, r: int) -> DataFrame:
     def make(cls, words, crowded):
         sk, done = sketch(words), _least_overlap(len(words), t) <= r
-        return [(sig, places, done, cls, sk) for sig, places in extended_subsets(words, rank, t, r, [(x["sig"], x["places"]) for x in crowded])]
+        return [(sig, places, done, cls, *sk) for sig, places in extended_subsets(words, rank, t, r, [(x["sig"], x["places"]) for x in crowded])]
 
     return _map(classes, ["cls", "words", "crowded"], _SIG_SCHEMA, _SIG_ROW, make)
 
@@ -231,7 +231,8 @@ def frequent_words(classes: DataFrame) -> dict[str, int]:
 
 def _paired(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
     """(a, b): what meets under a signature and may be similar by its sketch, smaller class first."""
-    x, y = left.select("sig", F.col("cls").alias("x"), F.col("sk").alias("sx")), right.select("sig", F.col("cls").alias("y"), F.col("sk").alias("sy"))
+    side = lambda df, c: df.select("sig", F.col("cls").alias(c), F.col("sk").alias(f"s{c}"), F.col("sk2").alias(f"s{c}2"))
+    x, y = side(left, "x"), side(right, "y")
     return x.join(y, "sig").where(F.col("x") != F.col("y")).where(_may_be_similar("sx", "sy", t)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -241,7 +242,7 @@ def near_duplicate_classes(classes: DataFrame, t: float = 0.7) -> DataFrame:
     variants = stage(_variant_rows(classes, t), "deletion_variants")
     load = variants.groupBy("sig").agg(F.count("*").alias("n"), F.count_if("whole").alias("wholes")).where((F.col("n") > 1) & (F.col("wholes") > 0))
     # Most variants meet none; those that do are used three times.
-    met = stage(variants.join(load, "sig").select("sig", "whole", "cls", "sk", (F.col("wholes") * F.col("n") > CROWD * CROWD).alias("crowded")), "met_variants")
+    met = stage(variants.join(load, "sig").select("sig", "whole", "cls", "sk", "sk2", (F.col("wholes") * F.col("n") > CROWD * CROWD).alias("crowded")), "met_variants")
     quiet = met.where("NOT crowded")
     pairs = [_paired(quiet.where("whole"), quiet, t)]
     crowd = stage(met.where("crowded").select("cls").distinct(), "crowd")
