@@ -244,17 +244,19 @@ def near_duplicate_classes(classes: DataFrame, t: float = 0.7) -> DataFrame:
     # Most variants meet none; those that do are used three times.
     met = stage(variants.join(load, "sig").select("sig", "whole", "cls", "sk", "sk2", (F.col("wholes") * F.col("n") > CROWD * CROWD).alias("crowded")), "met_variants")
     quiet = met.where("NOT crowded")
-    pairs = [_paired(quiet.where("whole"), quiet, t)]
+    # Every round's pairs are written at its end: one plan of all rounds would be large to no purpose.
+    pairs = [stage(_paired(quiet.where("whole"), quiet, t), "met_pairs")]
     crowd = stage(met.where("crowded").select("cls").distinct(), "crowd")
     rank = frequent_words(classes)
     subsets, r = _subset_rows(classes.join(crowd, "cls", "left_semi"), rank, t), FEWEST_RARE
     while True:
         subsets = stage(subsets, "rare_subsets")
         load = subsets.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
-        met = subsets.join(load, "sig")
-        quiet, loud = met.where(F.col("n") <= CROWD), met.where(F.col("n") > CROWD)
+        met = stage(subsets.join(load, "sig"), "met_subsets")
+        loud = met.where(F.col("n") > CROWD)
         # A set that need not share more than this subset pairs here; what it meets is similar, or nearly.
-        pairs += [_paired(quiet, quiet, t), _paired(loud.where("done"), loud, t)]
+        first = met.where((F.col("n") <= CROWD) | F.col("done"))
+        pairs.append(stage(_paired(first, met, t), "met_pairs"))
         # A class has few crowded subsets: no more than its rarest words give.
         still = stage(loud.where("NOT done").groupBy("cls").agg(F.collect_set(F.struct("sig", "places")).alias("crowded")), "crowded_subsets")
         if not still.take(1):
