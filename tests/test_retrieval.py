@@ -52,6 +52,22 @@ def test_bm25_rare_terms_lead_and_ties_go_by_place(spark):
     assert [i for i, _ in top(spark, ["x y", "x y", "x y"], "x")] == ["c0", "c1", "c2"]
 
 
+def test_questions_do_not_pass_through_the_driver(spark):
+    # Only the numbers of the corpus's blocks are broadcast; the questions are sent to the blocks by a shuffle.
+    found = lexical.bm25(corpus(spark, ["alpha beta", "beta"]), asked(spark, "alpha", "beta"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "BroadcastNestedLoopJoin" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("n,k,most", [(70, 5, 3), (5000, 5, 40), (5000, 1, 10**15), (3000, 46, 10**9), (4096, 5, 0)])
+def test_best_of_a_block(n, k, most):
+    rng, block = np.random.default_rng(n + k), object.__new__(lexical._Postings)
+    units = np.zeros(-(-n // lexical._GROUP) * lexical._GROUP, np.int64)
+    units[:n] = rng.integers(0, most + 1, n) * 499_999
+    want = sorted(((-((int(u) + 500_000) // 1_000_000), i) for i, u in enumerate(units) if u))[:k]
+    assert [(-int(s), int(i)) for i, s in zip(*block.best(units, k))] == want
+
+
 @pytest.mark.parametrize("question", ["", "?!", "unknown"])
 def test_no_candidates(spark, question):
     assert top(spark, ["alpha"], question) == []
