@@ -136,6 +136,25 @@ def test_nearest(spark):
     assert vectors.nearest_of(q, c, 0).count() == 0 and vectors.nearest_of(q, c, 50).count() == 6 and vectors.nearest_of(q, c.limit(0), 3).count() == 0
 
 
+def test_query_vectors_do_not_pass_through_the_driver(spark, tmp_path):
+    spark.createDataFrame([("s", f"i{i}", [float(i), 1.0]) for i in range(6)], "space string, id string, v array<double>").write.parquet(str(tmp_path / "v"))
+    c = spark.read.parquet(str(tmp_path / "v"))
+    assert "SortMergeJoin" in vectors.nearest_of(c.limit(2), c, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n,k,levels", [(900, 5, 10**6), (900, 5, 3), (901, 1, 50), (100, 5, 9), (640, 0, 9)])
+def test_best_products(n, k, levels):
+    rng = np.random.default_rng(n + k)
+    q, c = rng.integers(0, levels, (7, 3)) / levels, rng.integers(0, levels, (n, 3)) / levels
+    c[n // 2] = np.nan if n == 901 else 0
+    rows, at, score = vectors._best(q, c, k, 6)
+    for r in range(7):
+        of = np.flatnonzero(rows == r)
+        want = np.argsort(-np.round(q[r] @ c.T, 6), kind="stable")[:k]
+        got = of[np.argsort(-score[of], kind="stable")][:k]
+        assert at[got].tolist() == want.tolist()
+
+
 def test_embeddings_are_searched_in_full(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = {i: rng.normal(size=4).astype(np.float32) for i in range(130)}
