@@ -127,6 +127,20 @@ def test_prompts_and_answers(spark):
     assert a["q2"].outcome == "Abstain" and a["q2"].statements == [] and a["q1"].answer_text == "three\none\n\ntwo"
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_passages_do_not_pass_through_the_driver(spark):
+    q = spark.createDataFrame([("q1", "?")], "query_id string, question string")
+    chunks = spark.createDataFrame([("c1", "d", "one", 0, 3)], "id string, document_id string, text string, character_start int, character_end int")
+    candidates = spark.createDataFrame([("q1", 1, "c1", 1, 1, 0.5)], "query_id string, rank int, id string, semantic_rank int, lexical_rank int, score double")
+    passages = assemble.resolved(candidates, chunks)
+    p, a = assemble.prompts(q, passages), assemble.answers(q, passages)
+    for df in (passages, p, a, assemble.traces(q, candidates, p, a, 1)):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+
+
 def test_golden(spark):
     facts = spark.createDataFrame([("f1", "d", "bb"), ("f2", "d", "zz"), ("f3", "e", "cc"), ("f4", "d", None)], "id string, document_id string, source_text string")
     docs = spark.createDataFrame([("d", "aabbaabb"), ("e", "cc")], "document_id string, text string")
