@@ -81,6 +81,13 @@ def test_a_model_is_asked_only_with_evidence(spark):
     assert got["q3"].outcome is None and asked == [1]
 
 
+def test_contexts_do_not_pass_through_the_driver(spark):
+    q = spark.createDataFrame([("q1", "one")], "query_id string, question string")
+    assembled = spark.createDataFrame([("q1", "text", [("c1",)])], "query_id string, context string, provenance array<struct<chunk_id:string>>")
+    said = gates.model_answers(q, assembled, lambda question, context: question, "none")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in said and "Broadcast" not in said
+
+
 def test_prompts_take_their_arguments_only(spark):
     df = spark.createDataFrame([("Who?", "Amon.")], "q string, p string")
     assert "Who?" in df.select(prompts.prompt("relevance", question=F.col("q"), passage=F.col("p"))).first()[0]
