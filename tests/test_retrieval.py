@@ -59,6 +59,15 @@ def test_questions_do_not_pass_through_the_driver(spark):
     assert plan.count("BroadcastHashJoin") == 1 and "BroadcastNestedLoopJoin" not in plan and "SortMergeJoin" in plan
 
 
+def test_diagnostics_and_fusion_do_not_pass_through_the_driver(spark):
+    # Broadcast are the numbers of the corpus's blocks, once a search, and the one row of statistics.
+    c, q = corpus(spark, ["alpha beta", "beta"]).withColumn("document_id", F.lit("d")), asked(spark, "alpha", "beta")
+    found = lexical.bm25(c, q, 3)
+    plan = lexical.diagnostics(found, c, q, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("BroadcastNestedLoopJoin") == 1
+    assert "Broadcast" not in fusion.fused_candidates(q.select("query_id", F.lit("c0").alias("id"), F.lit(1).alias("rank")), q.select("query_id", F.lit("c1").alias("id"), F.lit(1).alias("rank")), c)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("n,k,most", [(70, 5, 3), (5000, 5, 40), (5000, 1, 10**15), (3000, 46, 10**9), (4096, 5, 0)])
 def test_best_of_a_block(n, k, most):
     rng, block = np.random.default_rng(n + k), object.__new__(lexical._Postings)
