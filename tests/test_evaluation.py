@@ -131,10 +131,14 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_passages_do_not_pass_through_the_driver(spark):
-    q = spark.createDataFrame([("q1", "?")], "query_id string, question string")
-    chunks = spark.createDataFrame([("c1", "d", "one", 0, 3)], "id string, document_id string, text string, character_start int, character_end int")
-    candidates = spark.createDataFrame([("q1", 1, "c1", 1, 1, 0.5)], "query_id string, rank int, id string, semantic_rank int, lexical_rank int, score double")
+def test_passages_do_not_pass_through_the_driver(spark, tmp_path):
+    def small(name, *made):  # of known size
+        spark.createDataFrame(*made).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    q = small("q", [("q1", "?")], "query_id string, question string")
+    chunks = small("chunks", [("c1", "d", "one", 0, 3)], "id string, document_id string, text string, character_start int, character_end int")
+    candidates = small("candidates", [("q1", 1, "c1", 1, 1, 0.5)], "query_id string, rank int, id string, semantic_rank int, lexical_rank int, score double")
     passages = assemble.resolved(candidates, chunks)
     p, a = assemble.prompts(q, passages), assemble.answers(q, passages)
     for df in (passages, p, a, assemble.traces(q, candidates, p, a, 1)):

@@ -81,9 +81,11 @@ def test_a_model_is_asked_only_with_evidence(spark):
     assert got["q3"].outcome is None and asked == [1]
 
 
-def test_contexts_do_not_pass_through_the_driver(spark):
+def test_contexts_do_not_pass_through_the_driver(spark, tmp_path):
     q = spark.createDataFrame([("q1", "one")], "query_id string, question string")
     assembled = spark.createDataFrame([("q1", "text", [("c1",)])], "query_id string, context string, provenance array<struct<chunk_id:string>>")
+    assembled.write.parquet(str(tmp_path / "a"))  # of known size
+    assembled = spark.read.parquet(str(tmp_path / "a"))
     said = gates.model_answers(q, assembled, lambda question, context: question, "none")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in said and "Broadcast" not in said
 
