@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import assemble, diagnose, evaluate, golden, judged, quality
+from corpusloom.plans import evaluation
+from tests.conftest import SF
 
 UNIVERSE = ["a", "b", "c"]
 SETS = [list(s) for s in chain.from_iterable(combinations(UNIVERSE, n) for n in range(4))]
@@ -145,6 +147,12 @@ def test_passages_do_not_pass_through_the_driver(spark, tmp_path):
         assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
 
 
+def test_rows_of_questions_do_not_pass_through_the_driver(spark):
+    # Broadcast are the seven metrics.
+    said = plan(evaluation.q_metric_deltas(spark, SF))
+    assert said.count("BroadcastHashJoin") == 1 and "BroadcastNestedLoopJoin" not in said and "SortMergeJoin" in said
+
+
 def test_golden(spark):
     facts = spark.createDataFrame([("f1", "d", "bb"), ("f2", "d", "zz"), ("f3", "e", "cc"), ("f4", "d", None)], "id string, document_id string, source_text string")
     docs = spark.createDataFrame([("d", "aabbaabb"), ("e", "cc")], "document_id string, text string")
